@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulara.session import scratch_path
+from tabulara.session import scratch_path, ship_code
 
 BLOCK_BYTES = 16 << 20
 FILE_BYTES = 64 << 20
@@ -40,6 +40,7 @@ _BLOCK_PA = pa.schema(
 
 def pack(files: DataFrame, block_bytes: int = BLOCK_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """files: file_id, run_id, path, content (string or binary). One row per block; a partition becomes one container file."""
+    ship_code(files.sparkSession)
     source = files.select("file_id", "run_id", "path", F.col("content").cast("binary").alias("content"))
     total = files.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     parts = max(1, math.ceil(total / file_bytes))
@@ -87,6 +88,7 @@ def archive_index(archive: DataFrame) -> DataFrame:
 
 def unpack(archive: DataFrame) -> DataFrame:
     """The files as they went in (file_id, run_id, path, content binary); a wrong checksum is an error."""
+    ship_code(archive.sparkSession)
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,6 +133,7 @@ def feature_record(feature: dict) -> tuple[str | None, str]:
 
 def records(archive: DataFrame) -> DataFrame:
     """One row per feature: run_id, file_id, ordinal, key (null if keyless), record (digest of 128 bits)."""
+    ship_code(archive.sparkSession)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: weakref.WeakSet = weakref.WeakSet()
+
 
 def build_session(app: str = "tabulara", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; conf overrides any of it."""
@@ -49,3 +54,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Gives the executors this package, once per session, where they don't have it on their path."""
+    sc = spark.sparkContext
+    if sc in _shipped:
+        return
+    package = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="tabulara-code-")) / "tabulara.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    _shipped.add(sc)
