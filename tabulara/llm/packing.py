@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulara.session import cut
+from tabulara.session import cut, ship_code
 
 #: Items a shard aims at. More fill better by less than a container a shard, and take longer in one task.
 SHARD_ITEMS = 20_000
@@ -141,6 +141,7 @@ def pack_items(sizes: list[int], capacity: int) -> list[int]:
 
 def fill_containers(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     """sizes: doc_id, n_tokens; capacities: capacity_id, max_tokens. (capacity_id, container_no, doc_id, part, first_token, n_tokens): which tokens of which row lie in which container."""
+    ship_code(sizes.sparkSession)
     sizes = cut(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")))
     limits = sorted({(r[0], r[1]) for r in capacities.select("capacity_id", "max_tokens").collect() if r[1] and r[1] > 0})  # a fixed table of container kinds
     if not limits:

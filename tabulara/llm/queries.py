@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulara.llm import packing, tokens
+from tabulara.llm import packing, subjects, tokens
+from tabulara.session import cut
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -23,8 +24,26 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_fill(p7_containers(spark, d), _table(spark, d, "kapasitas"))
 
 
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    encoded = cut(subjects.encode_sentences(_table(spark, d, "documents")))
+    return subjects.assign_subjects(encoded, subjects.fit_topics(encoded))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _assigned(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_assigned(spark, d), _table(spark, d, "subject_area"))
+
+
+def p8_topics(spark: SparkSession, d: str) -> DataFrame:
+    documents = _table(spark, d, "documents")
+    return subjects.topic_terms(documents, subjects.fit_topics(cut(subjects.encode_sentences(documents))))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p6_ids, p7_containers, p7_fill, p8_found, p8_composition, p8_topics)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tabulara.session import ship_code
+
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: How the vocabulary cuts a text into pieces; White_Space as Unicode has it (Python's \s holds four control characters more).
@@ -126,6 +128,7 @@ def encode_text(text: str | None, pieces: Pieces) -> list[int]:
 
 
 def _over_texts(documents: DataFrame, vocabulary: str, schema: str, kind: type[Pieces], column: Callable) -> DataFrame:
+    ship_code(documents.sparkSession)
     with open(vocabulary, "rb") as f:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
