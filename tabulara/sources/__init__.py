@@ -1 +1 @@
-"""Part of tabulara."""
+"""Files in, files out."""
