@@ -43,7 +43,7 @@ def number_key(c: Column) -> Column:
         .when(t.rlike("^(?:0|[1-9][0-9]{0,17})$"), t)
         .when(t.rlike(SHORT_INT), t.try_cast("bigint").cast("string"))
         .when(u.rlike(LONG_INT) & (F.length(u) <= 4300), long_key)
-        .when(u.rlike(FLOAT) & (F.abs(x) < 1.8e308) & (x == F.floor(x).cast("double")), whole)
+        .when(u.rlike(FLOAT) & (F.abs(x) < float("inf")) & ((F.abs(x) >= 2.0**53) | (x == F.floor(x).cast("double"))), whole)
         .otherwise(F.concat(F.lit("!"), t))
     )
 
@@ -62,8 +62,8 @@ def number_value(key: Column) -> Column:
 def parse_int(c: Column) -> Column:
     """(value, malformed) as a struct: blank and unreadable texts have the value 0; a fraction is cut off and malformed."""
     key = number_key(c)
-    bare = F.replace(trimmed(c), F.lit("_"), F.lit(""))
-    cut_off = F.when(bare.rlike(FLOAT), bare.try_cast("double").try_cast("bigint"))
+    t = F.translate(trimmed(c), "".join(_DIGITS), _VALUES)
+    cut_off = F.when(t.rlike(FLOAT), F.replace(t, F.lit("_"), F.lit("")).try_cast("double").try_cast("bigint"))
     return F.struct(
         F.coalesce(F.when(unreadable(key), cut_off).otherwise(number_value(key)), F.lit(0).cast("bigint")).alias("value"),
         F.coalesce(unreadable(key), F.lit(False)).alias("malformed"),

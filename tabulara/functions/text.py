@@ -33,7 +33,7 @@ def clean_name(c: Column) -> Column:
 
 def preview(c: Column, limit: int = 80) -> Column:
     """Printable ASCII of a text for audits: other characters as \\uXXXX of their UTF-16 units, cut at limit with three dots."""
-    units = F.transform(F.split(F.coalesce(c, F.lit("")), ""), lambda x: F.when(x.rlike(r"^[\x20-\x7E]?$"), x).otherwise(F.concat(F.lit("\\u"), F.lower(F.regexp_replace(F.hex(F.encode(x, "UTF-16BE")), "(?<=^.{4})(?=.)", "\\\\u")))))
+    units = F.transform(F.split(F.coalesce(c, F.lit("")), ""), lambda x: F.when(x.rlike(r"^[\x20-\x7E]?\z"), x).otherwise(F.concat(F.lit("\\u"), F.lower(F.regexp_replace(F.hex(F.encode(x, "UTF-16BE")), "(?<=^.{4})(?=.)", "\\\\u")))))
     text = F.array_join(units, "")
     return F.concat(F.substring(text, 1, limit), F.when(F.length(text) > limit, "...").otherwise(""))
 

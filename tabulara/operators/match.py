@@ -71,8 +71,8 @@ def match_villages(rows: DataFrame, villages: DataFrame, sources: Sequence[str])
     matched, and all rows that compete for one, are blocked for the stages after. Uniqueness in the last two counts all rows and targets of the regency, matched or not. Stages are joins of sets; the
     state between them is cut, so the plan of a stage doesn't hold those before it.
     """
-    rows = rows.where(F.col("k_key").isNotNull() & (F.col("village") != "")).withColumn("tight", compact(F.col("village")))
-    villages = villages.withColumn("tight", compact(F.col("village")))
+    rows = cut(rows.where(F.col("k_key").isNotNull() & (F.col("village") != "")).select(*ROW, "k_key", "c_key", "village", compact(F.col("village")).alias("tight")))
+    villages = cut(villages.select("key", "k_key", "c_key", "village", compact(F.col("village")).alias("tight")))
     matches = villages.select(F.col("key").alias("target")).limit(0).withColumns({"source": F.lit(""), "fid": F.lit(0).cast("bigint"), "method": F.lit("")})
     blocked = matches.select(*ROW)
     for source in sources:

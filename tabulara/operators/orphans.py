@@ -78,7 +78,7 @@ def orphan_references(refs: DataFrame, dimension: DataFrame) -> DataFrame:
 
     refs: table_name, row_no, field, key, at (timestamp_ntz), period. dimension: field, key, begins, ends (timestamp_ntz).
     """
-    refs = refs.where(F.col("key").isNotNull() & F.col("at").isNotNull())
+    refs = refs.select("table_name", "row_no", "field", "key", "at", "period").where(F.col("key").isNotNull() & F.col("at").isNotNull())
     groups = reference_groups(refs)
     spans = life_spans(dimension)
     heavy = cut(_verdicts(groups.where("heavy"), spans, few=True))

@@ -67,7 +67,7 @@ def _fields(line: Column) -> Column:
 
 
 def parse_rows(df: DataFrame, line: str, schema: RowSchema) -> DataFrame:
-    """df with `parsed`: a struct of status, fields, reason, bad_fields and first_broken.
+    """df with `parsed` (replacing a column of that name): a struct of status, fields, reason, bad_fields and first_broken.
 
     status is valid, header, empty or failed; fields (array of strings) is set for valid rows; reason is broken_quoting, column_count or invalid_value; bad_fields names the fields with
     an invalid value; first_broken is the first field that a prefix pattern refuses.
@@ -112,6 +112,7 @@ def failures(parsed: DataFrame, *keep: str) -> DataFrame:
 
 
 def loaded(parsed: DataFrame, schema: RowSchema, *keep: str) -> DataFrame:
-    """The valid records as rows of the schema, all strings, empty fields as empty strings."""
+    """The valid records as rows of the schema, all strings, empty fields as empty strings. A kept column with the name of a schema column becomes kept_<name>."""
     fields = F.col("parsed.fields")
-    return parsed.where("parsed.status = 'valid'").select(*keep, *(F.get(fields, F.lit(i)).alias(c) for i, c in enumerate(schema.columns)))
+    kept = [F.col(f"`{c}`").alias(f"kept_{c}" if c in schema.columns else c) for c in keep]
+    return parsed.where("parsed.status = 'valid'").select(*kept, *(F.get(fields, F.lit(i)).alias(c) for i, c in enumerate(schema.columns)))

@@ -107,7 +107,7 @@ LINK = f"""{NODES}, cnodes AS (SELECT *, {canon("name")} AS canon FROM nodes),
     LEFT JOIN exact e ON e.level = 3 AND e.scope = k_key AND e.norm = district LEFT JOIN tights t ON t.level = 3 AND t.scope = k_key AND t.norm = {tight("district")})"""
 
 _FEATURES = """WITH f AS (SELECT file_id, unnest(json_extract(content, '$.features[*]')) AS f FROM desa_file),
-  polys AS (SELECT file_id, row_number() OVER () AS fno, CASE WHEN f->'geometry'->>'type' = 'Polygon' THEN [CAST(f->'geometry'->'coordinates' AS DOUBLE[][][])] WHEN f->'geometry'->>'type' = 'MultiPolygon' THEN CAST(f->'geometry'->'coordinates' AS DOUBLE[][][][]) END AS g FROM f)"""
+  polys AS (SELECT file_id, row_number() OVER () AS fno, CASE WHEN (f->'geometry'->>'type') = 'Polygon' THEN [CAST(f->'geometry'->'coordinates' AS DOUBLE[][][])] WHEN (f->'geometry'->>'type') = 'MultiPolygon' THEN CAST(f->'geometry'->'coordinates' AS DOUBLE[][][][]) END AS g FROM f)"""
 
 
 def oracle_sql() -> dict[str, str]:
