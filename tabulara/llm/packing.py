@@ -121,11 +121,12 @@ def _improve(bins: _Bins, a: int, others: list[int]) -> bool:
     return changed
 
 
-def pack_items(sizes: list[int], capacity: int) -> list[int]:
-    """The container of each item (sizes from 0 to capacity), numbered from 0 without gaps."""
+def pack_items(sizes: list[int], capacity: int, best_fit: bool = True) -> list[int]:
+    """The container of each item (sizes from 0 to capacity), numbered from 0 without gaps. best_fit=False begins with the items as they arrive, each in the last container or a new one."""
     bins = _Bins(capacity)
-    for size, i in sorted(((s, i) for i, s in enumerate(sizes) if s), reverse=True):
-        b = bins.tightest(size)
+    items = [(s, i) for i, s in enumerate(sizes) if s]
+    for size, i in sorted(items, reverse=True) if best_fit else items:
+        b = bins.tightest(size) if best_fit else len(bins.fill) - 1 if bins.fill and bins.fill[-1] + size <= capacity else None
         bins.put(bins.open() if b is None else b, (size, i))
     for _ in range(PASSES):
         under = sorted((b for b in range(len(bins.fill)) if 0 < bins.fill[b] < UNDERFULL * capacity), key=bins.fill.__getitem__)
