@@ -1 +1 @@
-"""Part of tabulara."""
+"""Extensions of Spark's own making: the files of deliveries as a stream."""
