@@ -76,7 +76,11 @@ def hierarchy_reconcile(spark, d):
 
 
 def hierarchy_nested(spark, d):
-    return H.nested_hierarchy(spine(spark, d)).select("k", F.length("json").alias("n_chars"), F.size(F.from_json("json", "kab ARRAY<STRUCT<k:STRING>>")["kab"]).alias("n_regencies"))
+    """The nested form, read back: per province its regencies, districts and villages."""
+    kab = F.from_json("json", "kab ARRAY<STRUCT<k:STRING,kec:ARRAY<STRUCT<k:STRING,kel:ARRAY<STRUCT<k:STRING,n:STRING>>>>>>")["kab"]
+    kec = F.flatten(F.transform(kab, lambda x: x["kec"]))
+    kel = F.flatten(F.transform(kec, lambda x: x["kel"]))
+    return H.nested_hierarchy(spine(spark, d)).select("k", F.size(kab).alias("n_regencies"), F.size(kec).alias("n_districts"), F.size(kel).alias("n_villages"), F.array_max(F.transform(kel, lambda x: x["n"])).alias("last_name"))
 
 
 def clean_names(spark, d):
@@ -265,6 +269,23 @@ def option_share(spark, d):
     return V.option_ranks(rolled(spark, d).where("level <= 1"), PARTIES).select("key", "contest", "option", "share")
 
 
+def tooltip_top3(spark, d):
+    return V.option_ranks(rolled(spark, d), PARTIES, 3).select("key", "contest", "option", "share")
+
+
+def bar_slices(spark, d):
+    """Shares wide enough to be drawn."""
+    return V.option_ranks(rolled(spark, d), PARTIES).where("share > 0.008").select("key", "contest", "option", "share")
+
+
+def source_note(spark, d):
+    """What stands behind the figures: nodes, covered districts of all, files and rows per contest."""
+    top = rolled(spark, d).where("level = 0").select("contest", "covered", "total_units")
+    n = nodes(spark, d).agg(F.count("*").alias("n_nodes")).first()[0]  # one number
+    files = table(spark, d, "hasil_tps").groupBy("contest").agg(F.count_distinct("file_path").alias("n_files"), F.count("*").alias("n_rows"))
+    return top.join(files, "contest").withColumn("n_nodes", F.lit(n))
+
+
 def turnout(spark, d):
     return rolled(spark, d).select("key", "contest", V.turnout().alias("turnout"), V.invalid_rate().alias("invalid_rate"))
 
@@ -449,7 +470,7 @@ QUERIES = [
     hierarchy_flat, hierarchy_paths, hierarchy_recursive, hierarchy_repeated, hierarchy_reconcile, hierarchy_nested, clean_names, canonical_names, parse_int_edges, tps_numbers, year_extract, text_formats,
     judged_rows, concat_prefix_resolve, reject_waterfall, blank_rows, outlier_flags, conflict_classify, export_waterfall, donor_index, donor_conflicts, donor_join, donor_by_province, village_agg, district_agg,
     rollup_national, source_totals, totals_reconcile, anomaly_counters, column_maxima, capped_examples, coverage_distinct, coverage_gap, file_counts, contest_totals, union_contests, alias_spellings, display_names,
-    winner_by_region, tie_villages, option_rank, option_share, turnout, coverage_note, turnout_domain, share_domain, colour_class, children_summary, table_sort_share, search_topk, export_csv_lines,
+    winner_by_region, tie_villages, option_rank, option_share, tooltip_top3, bar_slices, source_note, turnout, coverage_note, turnout_domain, share_domain, colour_class, children_summary, table_sort_share, search_topk, export_csv_lines,
     unique_scope_index, chained_resolve, source_priority_match, village_match_stages, match_counts, alias_join, code_bridge, best_overlap, doc_digest, tree_digest, props_json, geojson_bounds, geojson_area,
     geojson_dissolve, geojson_collections, winner_by_region_star, first_wins_lineitem, rollup_star,
 ]

@@ -136,6 +136,7 @@ def oracle_sql() -> dict[str, str]:
         "hierarchy_recursive": f"WITH RECURSIVE {NODES}, walk AS (SELECT key, 1 AS depth, key AS trail FROM nodes WHERE parent_key = '' UNION ALL SELECT n.key, w.depth + 1, w.trail || '>' || n.key FROM walk w JOIN nodes n ON n.parent_key = w.key) SELECT * FROM walk",
         "hierarchy_repeated": f"SELECT {', '.join(CODES)}, count(*) AS n FROM wilayah GROUP BY ALL HAVING count(*) > 1",
         "hierarchy_reconcile": f"WITH a AS (SELECT DISTINCT {_CODE('')} AS code FROM pilpres_situs), b AS (SELECT DISTINCT {_CODE('')} AS code FROM pilpres_arsip) SELECT code, 'left' AS side FROM a WHERE code NOT IN (SELECT code FROM b) UNION ALL SELECT code, 'right' FROM b WHERE code NOT IN (SELECT code FROM a)",
+        "hierarchy_nested": f"WITH {SPINE} SELECT kodeprov AS k, count(DISTINCT kodekab) AS n_regencies, count(DISTINCT ROW(kodekab, kodekec)) AS n_districts, count(*) AS n_villages, max(namakel) AS last_name FROM spine GROUP BY kodeprov",
         "clean_names": f"SELECT raw, {name("coalesce(raw, '')")} AS name FROM ({' UNION '.join(f'SELECT {c} AS raw FROM hasil_tps' for c in GEO)})",
         "canonical_names": f"SELECT raw, {canon('raw')} AS canon, {tight(canon('raw'))} AS tight FROM ({' UNION '.join(f'SELECT {c} AS raw FROM wilayah' for c in NAMES)})",
         "parse_int_edges": f"""SELECT text, coalesce({value("k")}, CASE WHEN regexp_full_match({strip("text")}, '[+-]?[0-9.eE+-]+') THEN CAST(trunc(TRY_CAST({strip("text")} AS DOUBLE)) AS BIGINT) END, 0) AS value, coalesce(k[1] = '!', false) AS malformed
@@ -186,6 +187,9 @@ def oracle_sql() -> dict[str, str]:
         "tie_villages": totals(f", v AS (SELECT *, {options} AS votes, 'P' || {pkey} AS key FROM villages), l AS (SELECT *, {_LEAD} AS l FROM v) SELECT key, contest, votes AS total, array_to_string(l, ',') AS leaders FROM l WHERE len(l) > 1"),
         "option_rank": f"WITH {RANKS} SELECT key, contest, option, votes_ AS votes, rank, share FROM ranked WHERE rank <= 6",
         "option_share": f"WITH {RANKS} SELECT key, contest, option, share FROM ranked WHERE level <= 1",
+        "tooltip_top3": f"WITH {RANKS} SELECT key, contest, option, share FROM ranked WHERE rank <= 3",
+        "bar_slices": f"WITH {RANKS} SELECT key, contest, option, share FROM ranked WHERE share > 0.008",
+        "source_note": rolled(", f AS (SELECT contest, count(DISTINCT file_path) AS n_files, count(*) AS n_rows FROM hasil_tps GROUP BY contest) SELECT contest, covered, total_units, n_files, n_rows, (SELECT count(*) FROM nodes) AS n_nodes FROM rolled JOIN f USING (contest) WHERE level = 0"),
         "turnout": rolled(f"SELECT key, contest, {_TURNOUT} AS turnout, {_INVALID} AS invalid_rate FROM rolled"),
         "coverage_note": rolled(f"""SELECT key, contest, tps IS NOT NULL AS present, greatest(0, coalesce(tps, 0) - coalesce("blank-tps", 0)) AS reported, greatest(0, coalesce(tps, 0) - coalesce("validated-tps", 0) - coalesce("blank-tps", 0)) AS rejected, votes - {_S} AS difference FROM rolled"""),
         "turnout_domain": rolled(f""", t AS (SELECT parent_key, contest, quantile_cont({_TURNOUT}, 0.02) AS a, quantile_cont({_TURNOUT}, 0.98) AS b FROM rolled WHERE level > 0 GROUP BY ALL), u AS (SELECT parent_key, contest, coalesce(a, 0.55) AS a, coalesce(b, 0.9) AS b FROM t)
@@ -215,6 +219,8 @@ def oracle_sql() -> dict[str, str]:
         "tree_digest": "SELECT count(*) AS n, sha256(string_agg(path || ':' || sha256(content), chr(10) ORDER BY path || ':' || sha256(content))) AS digest FROM desa_file",
         "props_json": "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events",
         "geojson_bounds": f"{_FEATURES}, pts AS (SELECT file_id, fno, unnest(flatten(flatten(g))) AS p FROM polys) SELECT file_id, count(DISTINCT fno) AS n, min(p[1]) AS x0, min(p[2]) AS y0, max(p[1]) AS x1, max(p[2]) AS y1 FROM pts GROUP BY file_id",
+        "geojson_collections": f"""WITH {NODES}, k AS (SELECT DISTINCT f->'properties'->>'key' AS key FROM (SELECT unnest(json_extract(content, '$.features[*]')) AS f FROM desa_file) WHERE (f->'geometry'->>'type') IN ('Polygon', 'MultiPolygon')),
+          p AS (SELECT regexp_replace(key, '[.][^.]*$', '') AS parent_key, count(*) AS n FROM k WHERE key IS NOT NULL GROUP BY 1) SELECT n.key AS parent_key, coalesce(p.n, 0) AS n_features FROM nodes n LEFT JOIN p ON p.parent_key = n.key WHERE level = 3""",
         "winner_by_region_star": """WITH u AS (SELECT r_name, l_returnflag, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS units FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)
           SELECT *, rank() OVER (PARTITION BY r_name ORDER BY units DESC) AS rank, units / sum(units) OVER (PARTITION BY r_name) AS share FROM u""",
         "first_wins_lineitem": """WITH r AS (SELECT l_returnflag, row_number() OVER w AS n, first_value(l_quantity) OVER w <> l_quantity AS differs FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice))
