@@ -86,22 +86,26 @@ def parse_rows(df: DataFrame, line: str, schema: RowSchema) -> DataFrame:
     bad_fields = F.array_compact(F.array(*(F.when(bad(c), F.lit(c)) for c in schema.columns if c in schema.types)))
     broken_at = F.array_position(F.array(*(text.rlike(p) for p in schema.prefixes())), False)
     first_broken = F.element_at(F.array(*map(F.lit, schema.columns)), F.greatest(broken_at, F.lit(1)).cast("int"))
-    none, no_fields = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
-
-    def parsed(status: str, fields: Column = no_fields, reason: Column = none, bad: Column = no_fields, broken: Column = none) -> Column:
-        return F.struct(F.lit(status).alias("status"), fields.alias("fields"), reason.alias("reason"), bad.alias("bad_fields"), broken.alias("first_broken"))
-
-    broken = F.when(broken_at > 0, first_broken)
-    result = (
-        F.when(F.coalesce(trimmed(text), F.lit("")) == "", parsed("empty"))
-        .when(text.rlike(schema.whole()), parsed("valid", fields))
-        .when(text.rlike(schema.header()), parsed("header"))
-        .when(~text.rlike(STRUCTURE), parsed("failed", reason=F.lit("broken_quoting"), broken=broken))
-        .when(~text.rlike(ONE_RECORD) | (n != len(schema.columns)), parsed("failed", reason=F.lit("column_count"), broken=broken))
-        .when(F.size(bad_fields) > 0, parsed("failed", reason=F.lit("invalid_value"), bad=bad_fields, broken=broken))
-        .otherwise(parsed("valid", fields))
+    verdict = (
+        F.when(F.coalesce(trimmed(text), F.lit("")) == "", "empty")
+        .when(text.rlike(schema.whole()), "valid")
+        .when(text.rlike(schema.header()), "header")
+        .when(~text.rlike(STRUCTURE), "broken_quoting")
+        .when(~text.rlike(ONE_RECORD) | (n != len(schema.columns)), "column_count")
+        .when(F.size(bad_fields) > 0, "invalid_value")
+        .otherwise("valid")
     )
-    return df.withColumn("parsed", result)
+    # one verdict per row first; a reader of failures then never builds the fields of valid rows
+    found = F.col("parsed")
+    failed = found.isin("broken_quoting", "column_count", "invalid_value")
+    parts = {
+        "status": F.when(failed, "failed").otherwise(found),
+        "fields": F.when(found == "valid", fields),
+        "reason": F.when(failed, found),
+        "bad_fields": F.when(found == "invalid_value", bad_fields),
+        "first_broken": F.when(failed & (broken_at > 0), first_broken),
+    }
+    return df.withColumn("parsed", verdict).withColumn("parsed", F.struct(*(c.alias(k) for k, c in parts.items())))
 
 
 def failures(parsed: DataFrame, *keep: str) -> DataFrame:
