@@ -193,3 +193,13 @@ def collections(parents: DataFrame, features: DataFrame) -> DataFrame:
     per = features.groupBy("parent_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "feature"))), lambda x: x["feature"]), ",").alias("f"))
     joined = parents.select("parent_key").distinct().join(per, "parent_key", "left")
     return joined.select("parent_key", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.coalesce("f", F.lit("")), F.lit("]}\n")).alias("content"))
+
+
+def clean(df: DataFrame, geometry: str, tolerance: float) -> DataFrame:
+    """df with its geometry simplified and snapped, and `cleaned`: simplified, snapped (simplifying broke it), kept (so did snapping) or dropped (null: it was unsound as it came)."""
+    raw, thin = F.col("_raw"), F.col(geometry)
+    out = simplify(df.withColumn("_raw", F.col(geometry)), geometry, tolerance).withColumn(geometry, snapped(F.col(geometry))).withColumn("_snapped", snapped(raw))
+    how = F.when(~is_sound(raw), "dropped").when(is_sound(thin), "simplified").when(is_sound(F.col("_snapped")), "snapped").otherwise("kept")
+    out = out.withColumn("cleaned", how)
+    kept = F.when(F.col("cleaned") == "simplified", thin).when(F.col("cleaned") == "snapped", F.col("_snapped")).when(F.col("cleaned") == "kept", raw)
+    return out.withColumn(geometry, kept).drop("_raw", "_snapped")

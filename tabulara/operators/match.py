@@ -126,3 +126,19 @@ def code_bridge(selected: DataFrame, modern: DataFrame, historic: DataFrame) ->
 
 def canonical_columns(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: canonical(F.col(c)) for c in columns})
+
+
+def eligible(rows: DataFrame, year: str, last: int) -> DataFrame:
+    """Rows whose latest year of law is not after `last`; rows without a year stay."""
+    return rows.where(F.coalesce(F.col(year) <= last, F.lit(True)))
+
+
+def vintage_counts(rows: DataFrame, source: str, year: str, last: int) -> DataFrame:
+    """(source, vintage, n): upto, unknown or after."""
+    vintage = F.when(F.col(year).isNull(), "unknown").when(F.col(year) <= last, "upto").otherwise("after")
+    return rows.groupBy(F.col(source).alias("source"), vintage.alias("vintage")).agg(F.count("*").alias("n"))
+
+
+def unresolved_counts(resolved: DataFrame) -> DataFrame:
+    """Per source: rows, and rows without a province, regency or district of the hierarchy."""
+    return resolved.groupBy("source").agg(F.count("*").alias("n_rows"), *(F.count_if(F.col(k).isNull()).alias(f"no_{k}") for k in ("p_key", "k_key", "c_key")))

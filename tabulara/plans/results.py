@@ -367,6 +367,16 @@ def match_counts(spark, d):
     return M.match_counts(village_match_stages(spark, d))
 
 
+def unresolved_parents(spark, d):
+    return M.unresolved_counts(_resolved(spark, d))
+
+
+def vintage_breakdown(spark, d):
+    """Documents by source and the latest year they name."""
+    docs = table(spark, d, "documents").select("source", T.latest_year(F.col("text")).alias("year"))
+    return M.vintage_counts(docs, "source", "year", 2018)
+
+
 def alias_join(spark, d):
     """District names through an alias table: here each village's old spelling leads to the district it lies in."""
     n = _canonical_nodes(spark, d)
@@ -431,6 +441,12 @@ def geojson_dissolve(spark, d):
     return whole.select("parent_key", F.size("g").alias("n_parts"), F.round(G.area(G.snapped(F.col("g"))), 6).alias("area"))
 
 
+def geojson_clean(spark, d):
+    """What cleaning did to the village outlines, by layer."""
+    g = G.clean(_features(spark, d), "g", G.TOLERANCE["village"])
+    return g.groupBy("source", "cleaned").agg(F.count("*").alias("n"))
+
+
 def geojson_collections(spark, d):
     """The layout for readers: one collection per district of the hierarchy, empty ones included."""
     f = _features(spark, d).where("key IS NOT NULL AND g IS NOT NULL")
@@ -471,8 +487,8 @@ QUERIES = [
     judged_rows, concat_prefix_resolve, reject_waterfall, blank_rows, outlier_flags, conflict_classify, export_waterfall, donor_index, donor_conflicts, donor_join, donor_by_province, village_agg, district_agg,
     rollup_national, source_totals, totals_reconcile, anomaly_counters, column_maxima, capped_examples, coverage_distinct, coverage_gap, file_counts, contest_totals, union_contests, alias_spellings, display_names,
     winner_by_region, tie_villages, option_rank, option_share, tooltip_top3, bar_slices, source_note, turnout, coverage_note, turnout_domain, share_domain, colour_class, children_summary, table_sort_share, search_topk, export_csv_lines,
-    unique_scope_index, chained_resolve, source_priority_match, village_match_stages, match_counts, alias_join, code_bridge, best_overlap, doc_digest, tree_digest, props_json, geojson_bounds, geojson_area,
-    geojson_dissolve, geojson_collections, winner_by_region_star, first_wins_lineitem, rollup_star,
+    unique_scope_index, chained_resolve, source_priority_match, village_match_stages, match_counts, unresolved_parents, vintage_breakdown, alias_join, code_bridge, best_overlap, doc_digest, tree_digest, props_json, geojson_bounds, geojson_area,
+    geojson_dissolve, geojson_clean, geojson_collections, winner_by_region_star, first_wins_lineitem, rollup_star,
 ]
 
 

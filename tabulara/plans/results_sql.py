@@ -206,6 +206,9 @@ def oracle_sql() -> dict[str, str]:
         "chained_resolve": f"WITH {LINK} SELECT source, fid, p_key, k_key, c_key, concat_ws(',', m1, m2, m3) AS methods FROM l3",
         "source_priority_match": f"""WITH {LINK}, r AS (SELECT c_key AS target, source, fid, list_position(['situs', 'arsip', 'hasil'], source) AS rank, 'compact' IN (m1, m2, m3) AS c FROM l3 WHERE c_key IS NOT NULL),
           b AS (SELECT *, min(rank) OVER (PARTITION BY target) AS best FROM r) SELECT target, source, fid, CASE WHEN bool_or(coalesce(c, false)) OVER (PARTITION BY target) THEN 'compact' ELSE 'exact' END AS method FROM b WHERE rank = best""",
+        "unresolved_parents": f"WITH {LINK} SELECT source, count(*) AS n_rows, count(*) FILTER (p_key IS NULL) AS no_p_key, count(*) FILTER (k_key IS NULL) AS no_k_key, count(*) FILTER (c_key IS NULL) AS no_c_key FROM l3 GROUP BY source",
+        "vintage_breakdown": """WITH y AS (SELECT source, list_max([CAST(y AS INTEGER) FOR y IN regexp_extract_all(text, '[0-9]+') IF regexp_full_match(y, '(19|20)[0-9][0-9]')]) AS year FROM documents)
+          SELECT source, CASE WHEN year IS NULL THEN 'unknown' WHEN year <= 2018 THEN 'upto' ELSE 'after' END AS vintage, count(*) AS n FROM y GROUP BY ALL""",
         "alias_join": f"""WITH {LINK}, a AS (SELECT parent_key AS k_key, canon, min(key) AS target FROM cnodes WHERE level = 3 GROUP BY ALL HAVING count(*) = 1) SELECT k_key, 'OLD ' || canon AS district, target, 'alias' AS method FROM a""",
         "code_bridge": """WITH c AS (SELECT c_custkey AS fid, lpad(CAST(c_nationkey % 100 AS VARCHAR), 2, '0') || '0102' || lpad(CAST(c_custkey % 500 AS VARCHAR), 4, '0') AS digits, CAST(c_nationkey AS VARCHAR) AS k FROM customer),
           s AS (SELECT s_name AS target, s_suppkey AS fid, CASE WHEN s_suppkey % 7 <> 0 THEN lpad(CAST(s_nationkey % 100 AS VARCHAR), 2, '0') || '0102' || lpad(CAST(s_suppkey % 500 AS VARCHAR), 4, '0') END AS digits, CAST(s_nationkey AS VARCHAR) AS k, CASE WHEN s_suppkey % 11 <> 0 THEN CAST(s_nationkey AS VARCHAR) ELSE 'x' END AS t FROM supplier),

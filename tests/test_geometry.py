@@ -51,3 +51,9 @@ def test_feature_and_collections(spark, rows):
     parents = spark.createDataFrame([("P1.1.1",), ("P1.1.2",)], "parent_key string")
     got = dict(rows(G.collections(parents, df.select(F.lit("P1.1.1").alias("parent_key"), F.lit("P1.1.1.1").alias("key"), "feature"))))
     assert len(json.loads(got["P1.1.1"])["features"]) == 1 and json.loads(got["P1.1.2"])["features"] == []
+
+
+def test_clean_falls_back(spark):
+    tiny = polygon([[0, 0], [0.000001, 0], [0.000001, 0.000001], [0, 0.000001], [0, 0]])
+    got = {r.i: r for r in G.clean(frame(spark, polygon(square(0, 0)), tiny, None, polygon([[0, 0], [1, 1], [0, 0], [0, 0]])), "g", 0.001).collect()}
+    assert [got[i].cleaned for i in range(4)] == ["simplified", "kept", "dropped", "dropped"] and got[1].g is not None and got[2].g is None
