@@ -113,12 +113,20 @@ def ascii_fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: "" if t is None else t if t.isascii() else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
 
 
+#: Spellings that the comparison form unifies, and how.
+SPELLINGS = (
+    (r"\bKOTA\s+ADMINISTRASI\b", "ADMINISTRASI"),
+    (r"\bADM(?:INISTRASI)?\.?\s+KEP(?:ULAUAN)?\.?\b", "ADMINISTRASI KEPULAUAN"),
+    (r"[^A-Z0-9]+", " "),
+)
+
+
 def canonical(c: Column) -> Column:
     """The form in which names of areas are compared across catalogues: ASCII upper case, & as DAN, one spelling of ADMINISTRASI and KEPULAUAN, words by single spaces."""
     t = F.replace(F.upper(ascii_fold(c)), F.lit("&"), F.lit(" DAN "))
-    t = F.regexp_replace(t, r"\bKOTA\s+ADMINISTRASI\b", "ADMINISTRASI")
-    t = F.regexp_replace(t, r"\bADM(?:INISTRASI)?\.?\s+KEP(?:ULAUAN)?\.?\b", "ADMINISTRASI KEPULAUAN")
-    return F.trim(F.regexp_replace(t, "[^A-Z0-9]+", " "))
+    for pattern, spelling in SPELLINGS:
+        t = F.regexp_replace(t, pattern, spelling)
+    return F.trim(t)
 
 
 def compact(canonical_name: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulara.session import scratch_path, ship_code
+from tabulara.session import delete_at_exit, scratch_path, ship_code
 
 BLOCK_BYTES = 16 << 20
 FILE_BYTES = 64 << 20
@@ -71,10 +71,12 @@ def pack(files: DataFrame, block_bytes: int = BLOCK_BYTES, file_bytes: int = FIL
 
 
 def write_archive(files: DataFrame, path: str | None = None, **sizes: int) -> str:
-    """Packs files into containers under path (default: the shared folder) and returns it."""
-    path = path or scratch_path(files.sparkSession, "archive")
-    pack(files, **sizes).write.parquet(path)
-    return path
+    """Packs files into containers under path and returns it. Without a path they lie in the shared folder until the application ends."""
+    at = path or scratch_path(files.sparkSession, "archive")
+    pack(files, **sizes).write.parquet(at)
+    if path is None:
+        delete_at_exit(files.sparkSession, at)
+    return at
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 POINT = "struct<x:double,y:double>"
 GEOMETRY = f"array<array<array<{POINT}>>>"
-#: Tolerances of simplification in degrees, by level; snapping and union grids.
+#: Tolerances of simplification in degrees, by level; digits of the snapping and union grids.
 TOLERANCE = {"regency": 0.0012, "province": 0.0025, "village": 0.0005, "district": 0.0007}
 SNAP, GRID = 5, 7
 

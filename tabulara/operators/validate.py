@@ -16,6 +16,7 @@ from tabulara.operators.hierarchy import districts
 from tabulara.schemas import COUNTS, GEO, PARTIES
 
 MEASURES = [*PARTIES, *COUNTS]
+#: Fixed value: counts beyond it are doubted, except in provinces that the caller names.
 LIMIT = 1000
 NUL = "\x00"
 
