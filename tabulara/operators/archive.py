@@ -4,11 +4,12 @@ The original bytes of the files are packed into blocks of about BLOCK_BYTES; an
 blocks are read in parallel. Blocks lie together in container files of about FILE_BYTES, sorted by run and path, which lets a lookup skip containers by their path statistics.
 
 Records (GeoJSON features) are read from the containers: canonical JSON makes records equal that are the same JSON values in different notation. `consolidated` keeps every feature without a
-key, and each keyed record of a run once; `shared_records` names the pairs of files of a run that hold the same record.
+key, and each keyed record of a run once; `shared_records` names the pairs of files of a run that hold the same record. `pack_features` puts the kept features, in the bytes they were written in (as UTF-8),
+into blocks and containers of the same sizes, sorted by run and key, with an index entry per feature; `write_consolidated` keeps them under a path.
 
 Nulls and edge cases: a null content is an empty file of length 0 (and stays null-flagged in the index); empty collections and texts that are no JSON object hold no records and lose no bytes;
 a key that is absent, null or the empty string makes a feature keyless; the same record several times in one file is one membership; a file larger than a block gets its own block; an empty
-table gives an empty archive; extra columns are ignored.
+table gives an empty archive; extra columns are ignored; members of `features` that are no JSON objects are no features.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +39,14 @@ _BLOCK_PA = pa.schema(
     [("block_id", pa.string()), ("n_files", pa.int64()), ("n_bytes", pa.int64()), ("first_path", pa.string()), ("last_path", pa.string()), ("entries", pa.list_(_ENTRY_PA)), ("payload", pa.binary())]
 )
 
+FEATURE_ENTRY = "struct<run_id:int,key:string,file_id:bigint,ordinal:int,n_copies:bigint,offset:bigint,length:bigint,sha256:string>"
+FEATURE_BLOCKS = f"block_id string, n_features bigint, n_bytes bigint, first_run int, last_run int, entries array<{FEATURE_ENTRY}>, payload binary"
+_PLACE_PA = [("run_id", pa.int32()), ("key", pa.string()), ("file_id", pa.int64()), ("ordinal", pa.int32()), ("n_copies", pa.int64())]
+_FEATURE_ENTRY_PA = pa.struct([*_PLACE_PA, ("offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string())])
+_FEATURE_BLOCK_PA = pa.schema(
+    [("block_id", pa.string()), ("n_features", pa.int64()), ("n_bytes", pa.int64()), ("first_run", pa.int32()), ("last_run", pa.int32()), ("entries", pa.list_(_FEATURE_ENTRY_PA)), ("payload", pa.binary())]
+)
+
 
 def pack(files: DataFrame, block_bytes: int = BLOCK_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """files: file_id, run_id, path, content (string or binary). One row per block; a partition becomes one container file."""
@@ -133,15 +143,40 @@ def feature_record(feature: dict) -> tuple[str | None, str]:
     return (None if key is None or key == "" else key if isinstance(key, str) else canonical_json(key)), text
 
 
-def records(archive: DataFrame) -> DataFrame:
-    """One row per feature: run_id, file_id, ordinal, key (null if keyless), record (digest of 128 bits)."""
+_SPACE = re.compile(r"[ \t\n\r]*").match
+
+
+def feature_texts(text: str) -> list[str]:
+    """The members of the array `features` as they are written. text: an object that json.loads reads; of members of the same name the last counts."""
+    decode, skip, out = json.JSONDecoder().raw_decode, (lambda i: _SPACE(text, i).end()), []
+    at = skip(skip(0) + 1)
+    while text[at] != "}":
+        name, at = decode(text, skip(at + 1) if text[at] == "," else at)
+        at = skip(skip(at) + 1)
+        if name == "features":
+            out = []
+        if name == "features" and text[at] == "[":
+            at = skip(at + 1)
+            while text[at] != "]":
+                at = skip(at + 1) if text[at] == "," else at
+                end = decode(text, at)[1]
+                out.append(text[at:end])
+                at = skip(end)
+            at = skip(at + 1)
+        else:
+            at = skip(decode(text, at)[1])
+    return out
+
+
+def records(archive: DataFrame, texts: bool = False) -> DataFrame:
+    """One row per feature: run_id, file_id, ordinal, key (null if keyless), record (digest of 128 bits); with texts also feature, its bytes as written."""
     ship_code(archive.sparkSession)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for entries, payload in zip(batch.column("entries"), batch.column("payload"), strict=True):
                 view = payload.as_buffer()
-                run, file, ordinal, keys, digests = [], [], [], [], []
+                run, file, ordinal, keys, digests, written = [], [], [], [], [], []
                 for e in entries.as_py():
                     raw = view[e["offset"] : e["offset"] + e["length"]].to_pybytes()
                     if hashlib.sha256(raw).hexdigest() != e["sha256"]:
@@ -151,7 +186,9 @@ def records(archive: DataFrame) -> DataFrame:
                     except ValueError:
                         continue
                     found = collection.get("features") if isinstance(collection, dict) else None
-                    for i, feature in enumerate(found if isinstance(found, list) else []):
+                    found = found if isinstance(found, list) else []
+                    as_written = feature_texts(raw.decode(json.detect_encoding(raw), "surrogatepass")) if texts and found else []
+                    for i, feature in enumerate(found):
                         if isinstance(feature, dict):
                             key, text = feature_record(feature)
                             run.append(e["run_id"])
@@ -159,12 +196,16 @@ def records(archive: DataFrame) -> DataFrame:
                             ordinal.append(i)
                             keys.append(key)
                             digests.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
+                            if texts:
+                                written.append(as_written[i].encode("utf-8", "surrogatepass"))
+                more = {"feature": pa.array(written, pa.binary())} if texts else {}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(run, pa.int32()), pa.array(file, pa.int64()), pa.array(ordinal, pa.int32()), pa.array(keys, pa.string()), pa.array(digests, pa.binary())],
-                    names=["run_id", "file_id", "ordinal", "key", "record"],
+                    [pa.array(run, pa.int32()), pa.array(file, pa.int64()), pa.array(ordinal, pa.int32()), pa.array(keys, pa.string()), pa.array(digests, pa.binary()), *more.values()],
+                    names=["run_id", "file_id", "ordinal", "key", "record", *more],
                 )
 
-    return archive.select("entries", "payload").mapInArrow(features, "run_id int, file_id bigint, ordinal int, key string, record binary")
+    schema = "run_id int, file_id bigint, ordinal int, key string, record binary"
+    return archive.select("entries", "payload").mapInArrow(features, schema + ", feature binary" if texts else schema)
 
 
 def shared_records(archive: DataFrame) -> DataFrame:
@@ -181,3 +222,78 @@ def consolidated(archive: DataFrame) -> DataFrame:
     keyed = every.where("key is not null").groupBy("run_id", "key", "record").agg(F.min(place).alias("p"), F.count("*").alias("n_copies"))
     rows = keyed.select("run_id", "key", "p.file_id", "p.ordinal", "n_copies")
     return rows.unionByName(every.where("key is null").select("run_id", "key", "file_id", "ordinal", F.lit(1).cast("bigint").alias("n_copies")))
+
+
+def kept_features(archive: DataFrame) -> DataFrame:
+    """The features that `consolidated` keeps, with their bytes: run_id, key, file_id, ordinal, n_copies, feature. One grouping: a keyless feature is a group of its own."""
+    own = F.when(F.col("key").isNull(), F.struct("file_id", "ordinal"))
+    groups = records(archive, texts=True).groupBy("run_id", "key", "record", own.alias("own")).agg(F.min(F.struct("file_id", "ordinal", "feature")).alias("p"), F.count("*").alias("n_copies"))
+    return groups.select("run_id", "key", "p.file_id", "p.ordinal", "n_copies", "p.feature")
+
+
+def pack_features(kept: DataFrame, block_bytes: int = BLOCK_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """kept: rows of kept_features. One row per block; a partition becomes one container file."""
+    spark = kept.sparkSession
+    ship_code(spark)
+    at = scratch_path(spark, "kept")
+    kept.write.parquet(at)  # measured first, then dealt to containers
+    delete_at_exit(spark, at)
+    kept = spark.read.schema(kept.schema).parquet(at)
+    parts = max(1, math.ceil((kept.agg(F.sum(F.octet_length("feature"))).first()[0] or 0) / file_bytes))
+    names = [n for n, _ in _PLACE_PA]
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        payload, entries = bytearray(), []
+
+        def block() -> pa.RecordBatch:
+            row = {"block_id": f"{part:06d}-{seq:06d}", "n_features": len(entries), "n_bytes": len(payload), "first_run": entries[0]["run_id"], "last_run": entries[-1]["run_id"]}
+            return pa.RecordBatch.from_pylist([row | {"entries": entries, "payload": bytes(payload)}], schema=_FEATURE_BLOCK_PA)
+
+        for batch in batches:
+            for place, feature in zip(batch.select(names).to_pylist(), batch.column("feature"), strict=True):
+                raw = feature.as_py()
+                if entries and len(payload) + len(raw) > block_bytes:
+                    yield block()
+                    payload, entries, seq = bytearray(), [], seq + 1
+                entries.append(place | {"offset": len(payload), "length": len(raw), "sha256": hashlib.sha256(raw).hexdigest()})
+                payload += raw
+        if entries:
+            yield block()
+
+    order = ["run_id", "key", "file_id", "ordinal"]
+    return kept.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*names, "feature").mapInArrow(blocks, FEATURE_BLOCKS)
+
+
+def write_consolidated(archive: DataFrame, path: str, **sizes: int) -> str:
+    """Packs the kept features into containers under path, where they stay, and returns it."""
+    pack_features(kept_features(archive), **sizes).write.parquet(path)
+    return path
+
+
+def read_consolidated(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FEATURE_BLOCKS).parquet(path)
+
+
+def feature_index(store: DataFrame) -> DataFrame:
+    """One row per kept feature: block_id, run_id, key, file_id, ordinal, n_copies, offset, length, sha256. Of a written store it reads no payload."""
+    return store.select("block_id", F.explode("entries").alias("e")).select("block_id", "e.*")
+
+
+def unpack_features(store: DataFrame) -> DataFrame:
+    """The kept features (run_id, key, file_id, ordinal, n_copies, feature binary); a wrong checksum is an error."""
+    ship_code(store.sparkSession)
+    schema = pa.schema([*_PLACE_PA, ("feature", pa.binary())])
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for entries, payload in zip(batch.column("entries"), batch.column("payload"), strict=True):
+                view, rows = payload.as_buffer(), []
+                for e in entries.as_py():
+                    raw = view[e["offset"] : e["offset"] + e["length"]].to_pybytes()
+                    if hashlib.sha256(raw).hexdigest() != e["sha256"]:
+                        raise ValueError(f"checksum of feature {e['ordinal']} of file {e['file_id']} doesn't hold")
+                    rows.append({n: e[n] for n, _ in _PLACE_PA} | {"feature": raw})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return store.select("entries", "payload").mapInArrow(features, "run_id int, key string, file_id bigint, ordinal int, n_copies bigint, feature binary")

@@ -71,8 +71,17 @@ def p3_index(spark: SparkSession, d: str) -> DataFrame:
     return archive.archive_index(_archive(spark, d)).select("file_id", "run_id", "path", "length", "sha256")
 
 
-def p3_consolidated(spark: SparkSession, d: str) -> DataFrame:
-    return archive.consolidated(_archive(spark, d))
+def p3_store(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
+    """The consolidated features in blocks, a partition per container file: written out, they are the few files asked for. With a path they are kept there and read from it."""
+    files = _archive(spark, d)
+    if path is None:
+        return archive.pack_features(archive.kept_features(files))
+    return archive.read_consolidated(spark, archive.write_consolidated(files, path))
+
+
+def p3_consolidated(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
+    """The index of p3_store; its columns are fixed."""
+    return archive.feature_index(p3_store(spark, d, path)).select("run_id", "key", "file_id", "ordinal", "n_copies")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -94,4 +103,4 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_loaded, p2_status, p3_found, p3_index, p3_consolidated, p4_found, p4_profile, p4_changes, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_loaded, p2_status, p3_found, p3_index, p3_store, p3_consolidated, p4_found, p4_profile, p4_changes, p5_found)}

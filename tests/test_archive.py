@@ -77,3 +77,30 @@ def test_damage_is_noticed(spark, tmp_path):
     broken = arc.withColumn("payload", F.encode(F.regexp_replace(F.decode("payload", "UTF-8"), "village", "vilXage"), "UTF-8"))
     with pytest.raises(Exception, match="checksum"):
         A.unpack(broken).count()
+
+
+def test_consolidated_store_holds_the_features(spark, tmp_path):
+    fs = [*files(), (12, 1, "a/12", '{"features": [{"properties": 1}], "x": {"features": [0]}, "features" : [ 7 , {"properties" : {"key":"Q", "name":"\\u00e9é"}}\n] }', "", 0), (13, 1, "a/13", "\ufeff" + collection(feature(key="R")), "", 0)]
+    arc = A.read_archive(spark, A.write_archive(spark.createDataFrame(fs, FILES), str(tmp_path / "arc"), block_bytes=3000))
+    path = A.write_consolidated(arc, str(tmp_path / "out"), block_bytes=300, file_bytes=600)
+    store = A.read_consolidated(spark, path)
+    got = {(r.file_id, r.ordinal): r for r in A.unpack_features(store).collect()}
+    pointers = {(r.run_id, r.key, r.file_id, r.ordinal, r.n_copies) for r in A.consolidated(arc).collect()}
+    assert {(r.run_id, r.key, r.file_id, r.ordinal, r.n_copies) for r in got.values()} == pointers and len(got) == len(pointers) == A.feature_index(store).count()
+    texts = {f[0]: f[3] for f in fs}
+    for (file_id, ordinal), r in got.items():
+        written = bytes(r.feature).decode()
+        assert written in texts[file_id] and json.loads(written) == json.loads(texts[file_id].encode())["features"][ordinal]
+    assert bytes(got[12, 1].feature).decode() == '{"properties" : {"key":"Q", "name":"\\u00e9é"}}' and (13, 0) in got
+    sizes = [r.n_bytes for r in store.select("n_bytes").collect()]
+    assert sum(sizes) == sum(len(r.feature) for r in got.values()) and len(sizes) > 1
+
+
+def test_p3_store_is_few_files(spark, sf, tmp_path):
+    from tabulara.plans import dealt
+
+    dealt.p3_store(spark, sf).write.parquet(str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("*.parquet"))) == 1
+    kept = A.unpack_features(A.read_consolidated(spark, str(tmp_path / "out")))
+    assert kept.drop("feature").exceptAll(dealt.p3_consolidated(spark, sf, str(tmp_path / "kept"))).count() == 0 and kept.count() > 0
+    assert (tmp_path / "kept").exists() and kept.where("octet_length(feature) < 2").count() == 0
