@@ -8,17 +8,20 @@ run through the same prefix sums: the largest gap between both cumulative curves
 Nulls and edge cases: null and blank values are missing; unreadable ones are counted but have no value; numbers beyond BIGINT count as its ends; a load without readable numbers has null range,
 quantiles and distance, and 0 distinct values; rows with a null load are left out; a load without rows has no profile row; a load whose predecessor is null or has no rows has no findings, and shares
 of nothing (no non-missing or no readable values on either side) are not compared; repeated rows count each; ties share one value; empty tables give empty results.
+
+Columns of texts (`text_counts`) go the same way: every non-missing text, trimmed, is a value, in the order of code points; one that its column's pattern refuses counts as unreadable too, but keeps its value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabulara.functions.numbers import number_key, number_value, unreadable
+from tabulara.functions.text import trimmed
 from tabulara.session import cut, shuffle_parts
 
 #: Changes beyond these are findings; as whole thousandths, to be compared exactly.
@@ -34,6 +37,21 @@ def value_counts(df: DataFrame, columns: Sequence[str], load: str = "load_id") -
     return read.select("column_name", "load_id", kind.alias("kind"), number_value(F.col("k")).alias("value")).groupBy("column_name", "load_id", "kind", "value").agg(F.count("*").alias("n"))
 
 
+def text_counts(df: DataFrame, patterns: Mapping[str, str], load: str = "load_id") -> DataFrame:
+    """As value_counts, for columns of texts with the pattern of each: kind is missing, text or unreadable (refused by the pattern), value the trimmed text."""
+    texts = {c: trimmed(F.col(f"`{c}`")) for c in patterns}
+    cells = F.array(*(F.struct(F.lit(c).alias("column_name"), t.alias("text"), t.rlike(f"\\A(?:{patterns[c]})\\z").alias("fits")) for c, t in texts.items()))
+    long = df.where(F.col(f"`{load}`").isNotNull()).select(F.col(f"`{load}`").alias("load_id"), F.explode(cells).alias("c")).select("c.column_name", "load_id", F.when(F.col("c.text") != "", F.col("c.text")).alias("value"), "c.fits")
+    kind = F.when(F.col("value").isNull(), "missing").when(F.col("fits"), "text").otherwise("unreadable")
+    return long.select("column_name", "load_id", kind.alias("kind"), "value").groupBy("column_name", "load_id", "kind", "value").agg(F.count("*").alias("n"))
+
+
+def named_as_text(df: DataFrame) -> DataFrame:
+    """A profile or changes of text_counts, with names that don't clash with those of numbers: n_texts, min_text, max_text, q<percent>_text."""
+    names = {c: c.replace("n_numbers", "n_texts").replace("_value", "_text") for c in df.columns if c.endswith(("n_numbers", "_value"))}
+    return df.withColumnsRenamed(names | {c: c + "_text" for c in df.columns if c[0] == "q" and c[1:].isdigit()})
+
+
 def prefix_sums(counts: DataFrame, group: list[str], value: str, sums: list[str]) -> DataFrame:
     """counts with cum_<s>: the sum of s over all rows of its group up to its value (one row per group and value). No task holds more than one range partition."""
     ranged = counts.repartitionByRange(shuffle_parts(counts.sparkSession), *group, value)
@@ -46,13 +64,13 @@ def prefix_sums(counts: DataFrame, group: list[str], value: str, sums: list[str]
 
 
 def load_stats(counts: DataFrame) -> DataFrame:
-    """Per column and load: n_rows, n_missing, n_unreadable, n_numbers, n_distinct, min_value, max_value."""
+    """Per column and load: n_rows, n_missing, n_unreadable, n_numbers (rows with a value), n_distinct, min_value, max_value."""
     n = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
     return counts.groupBy("column_name", "load_id").agg(
         F.sum("n").alias("n_rows"),
         n("missing").alias("n_missing"),
         n("unreadable").alias("n_unreadable"),
-        n("number").alias("n_numbers"),
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n_numbers"),
         F.count("value").alias("n_distinct"),
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
@@ -63,7 +81,7 @@ def profile(counts: DataFrame, quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -
     """load_stats with shares, and exact quantiles q<percent>: the smallest value whose cumulative share is at least the quantile."""
     counts = cut(counts)
     stats = load_stats(counts)
-    ranked = prefix_sums(counts.where("kind = 'number'").select("column_name", "load_id", "value", "n"), ["column_name", "load_id"], "value", ["n"])
+    ranked = prefix_sums(counts.where("value is not null").select("column_name", "load_id", "value", "n"), ["column_name", "load_id"], "value", ["n"])
     wanted = ranked.join(stats.select("column_name", "load_id", "n_numbers"), ["column_name", "load_id"])
     at = [F.min(F.when(F.col("cum_n") >= F.ceil(F.lit(q) * F.col("n_numbers")), F.col("value"))).alias(f"q{round(q * 100)}") for q in quantiles]
     rate = lambda a, b: F.try_divide(F.col(a), b).alias(a.replace("n_", "") + "_rate")
@@ -85,7 +103,7 @@ def load_changes(counts: DataFrame, loads: DataFrame) -> DataFrame:
     stats = load_stats(counts)
     before = stats.select("column_name", F.col("load_id").alias("prev_load_id"), *(F.col(c).alias("p_" + c) for c in stats.columns[2:]))
     pairs = stats.join(loads.select("load_id", "prev_load_id").where("prev_load_id is not null").distinct(), "load_id").join(before, ["column_name", "prev_load_id"])
-    numbers = counts.where("kind = 'number'")
+    numbers = counts.where("value is not null")
     own = numbers.join(pairs.select(*key, "prev_load_id"), key)
     own = own.select(*key, "prev_load_id", "value", F.col("n").alias("a"), F.lit(0).cast("bigint").alias("b"))
     prev = numbers.withColumnRenamed("load_id", "prev_load_id").join(pairs.select(*key, "prev_load_id"), ["column_name", "prev_load_id"])

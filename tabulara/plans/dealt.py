@@ -12,6 +12,11 @@ from tabulara.schemas import CONTEST_COLUMNS, COPY_FIELDS, COUNTS, GEO, PARTIES
 PROFILED = ["pkb", "suara-tidak-sah", "total-pemilih"]
 CONTEST_ROWS = rowparse.RowSchema(CONTEST_COLUMNS, {"id": rowparse.DIGITS, "tps": rowparse.TPS, "total-pemilih": rowparse.COUNT}, frozenset({"total-pemilih"}))
 
+_NAME, _SCAN = r"(?s).*\p{L}.*", r"\S+\.[A-Za-z0-9]+"
+_TIME = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]|[0-9]{2}/[0-9]{2}/[0-9]{4} )[0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?Z?"
+#: The contest columns that aren't numbers, with the pattern of a usual text.
+TEXTS = {"id": rowparse.DIGITS, **dict.fromkeys(GEO, _NAME), "tps": rowparse.TPS, "timestamp": _TIME, **{c: _SCAN for c in CONTEST_COLUMNS if c.startswith("c1-")}}
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -98,9 +103,21 @@ def p4_changes(spark: SparkSession, d: str) -> DataFrame:
     return profile.load_changes(counts, table(spark, d, "muatan")).withColumn("findings", F.array_join("findings", ","))
 
 
+def p4_profile_all(spark: SparkSession, d: str) -> DataFrame:
+    """p4_profile for all 38 columns; texts have n_texts, min_text, max_text and q…_text."""
+    texts = profile.profile(profile.text_counts(table(spark, d, "hasil_tps"), TEXTS))
+    return p4_profile(spark, d).unionByName(profile.named_as_text(texts), allowMissingColumns=True)
+
+
+def p4_changes_all(spark: SparkSession, d: str) -> DataFrame:
+    """p4_changes for all 38 columns."""
+    texts = profile.load_changes(profile.text_counts(table(spark, d, "hasil_tps"), TEXTS), table(spark, d, "muatan")).withColumn("findings", F.array_join("findings", ","))
+    return p4_changes(spark, d).unionByName(profile.named_as_text(texts), allowMissingColumns=True)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return diff.copy_differences(table(spark, d, "pilpres_situs"), table(spark, d, "pilpres_arsip"), ("situs", "arsip"), "id", "row_no", COPY_FIELDS)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_loaded, p2_status, p3_found, p3_index, p3_store, p3_consolidated, p4_found, p4_profile, p4_changes, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_loaded, p2_status, p3_found, p3_index, p3_store, p3_consolidated, p4_found, p4_profile, p4_changes, p4_profile_all, p4_changes_all, p5_found)}

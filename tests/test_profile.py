@@ -80,3 +80,36 @@ def test_edges(spark, rows):
     loads = spark.createDataFrame([(2, 1, 0), (1, None, 0)], LOADS)
     assert rows(P.load_findings(P.load_changes(counts, loads))) == [(2, "a-b", "null_rate"), (2, "c", "distinct_count"), (2, "c", "null_rate")]
     assert {(r.column_name, r.load_id): r.max_value for r in P.profile(counts).collect()}["c", 2] == 2**63 - 1
+
+
+def test_texts(spark):
+    rows = [(1, " ab ", None), (1, "ab", ""), (1, "7", "x"), (1, "é", None), (2, None, "x"), (2, " ", "y"), (2, "7", "x"), (None, "z", "z")]
+    counts = P.text_counts(spark.createDataFrame(rows, "load_id int, `a-b` string, c string"), {"a-b": r"\p{L}+", "c": "x"})
+    got = {(r.column_name, r.load_id): r for r in P.named_as_text(P.profile(counts)).collect()}
+    assert set(got) == {(c, k) for c in ("a-b", "c") for k in (1, 2)}
+    r = got["a-b", 1]
+    assert (r.n_rows, r.n_missing, r.n_unreadable, r.n_texts, r.n_distinct, r.min_text, r.max_text, r.q50_text, r.unreadable_rate) == (4, 0, 1, 4, 3, "7", "é", "ab", 0.25)
+    r = got["c", 1]
+    assert (r.n_missing, r.n_distinct, r.missing_rate) == (3, 1, 0.75)
+    loads = spark.createDataFrame([(1, None, 0), (2, 1, 0)], LOADS)
+    met = {r.column_name: r for r in P.named_as_text(P.load_changes(counts, loads)).collect()}
+    assert met["a-b"].findings == ["null_rate", "pattern", "distinct_count", "distribution"] and met["a-b"].ks == 0.75
+    assert met["c"].findings == ["null_rate", "pattern", "value_range", "distribution"] and met["c"].n_outside == 1 and met["c"].p_max_text == "x"
+
+
+def test_every_column_is_profiled(spark, sf):
+    from tabulara.plans import dealt
+    from tabulara.schemas import CONTEST_COLUMNS
+
+    t = dealt.table(spark, sf, "hasil_tps")
+    cells = {c: [(r.load_id, (r[1] or "").strip()) for r in t.select("load_id", f"`{c}`").collect()] for c in ("id", "kelurahan", "timestamp", "c1-2")}
+    got = {(r.column_name, r.load_id): r for r in dealt.p4_profile_all(spark, sf).collect()}
+    loads = {k for _, k in got}
+    assert set(got) == {(c, k) for c in CONTEST_COLUMNS for k in loads}
+    for c, rows in cells.items():
+        for load in loads:
+            v = [x for k, x in rows if k == load]
+            r, full = got[c, load], [x for x in v if x]
+            assert (r.n_rows, r.n_missing, r.n_distinct, r.min_text, r.max_text) == (len(v), v.count(""), len(set(full)), min(full, default=None), max(full, default=None))
+    changed = dealt.p4_changes_all(spark, sf)
+    assert {r.column_name for r in changed.collect()} == set(CONTEST_COLUMNS)
