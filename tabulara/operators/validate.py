@@ -114,7 +114,7 @@ def contest_rows(delivered: DataFrame, villages: DataFrame, exempt: Sequence[str
 def export_rows(delivered: DataFrame, villages: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Rows (file_path, row_no, village_code, tps, measures) judged by the waterfall of the exports: unknown_village_id, unreadable_tps, duplicate_natural_tps_key, malformed_numeric.
 
-    A malformed row still takes its key (village, number of the polling place), so a later good row is a repeat.
+    A malformed row still takes its key (village, number of the polling place), so a later good row is a repeat. The measures come out as numbers (0 where blank or unreadable), with blank_result.
     """
     known = villages.select(F.col("concat").alias("village_code")).distinct().withColumn("known", F.lit(True))
     rows = delivered.select("file_path", "row_no", "village_code", tps_plain(F.col("tps")).alias("tps_no"), number_keys(measures).alias("keys")).join(known, "village_code", "left")
@@ -122,4 +122,19 @@ def export_rows(delivered: DataFrame, villages: DataFrame, measures: Sequence[st
     rows = first_wins(rows.withColumn("early", early), ["village_code", "tps_no"], ["file_path", "row_no"], F.lit(0), F.col("early").isNull())
     bad = F.size(F.filter("keys", unreadable)) > 0
     reason = F.coalesce("early", F.when(F.col("is_repeat"), "duplicate_natural_tps_key"), F.when(bad, "malformed_numeric"))
-    return rows.withColumn("reject_reason", reason).drop("keys", "known", "early", "is_first", "is_repeat", "is_conflict")
+    values = {c: F.coalesce(number_value(F.get("keys", F.lit(i))), F.lit(0).cast("bigint")) for i, c in enumerate(measures)}
+    rows = rows.withColumns({"reject_reason": reason, "blank_result": F.forall("keys", lambda k: k.isNull()), **values})
+    return rows.drop("keys", "known", "early", "is_first", "is_repeat", "is_conflict")
+
+
+def lent_rows(lent: DataFrame, villages: DataFrame, contest: str, options: Sequence[str], exempt: Sequence[str] = ()) -> DataFrame:
+    """Rows of export_rows with a donor's registered and users (donor.lend) as judged rows of the contest, with codes, stats_valid (which takes a donor) and vote_outlier."""
+    names = villages.select(F.col("concat").alias("village_code"), "kodeprov", "kodekab", "kodekec", "kodekel", clean_name(F.col("namaprov")).isin(*exempt).alias("large"))
+    pemilih, pengguna = F.col("registered"), F.col("users")
+    total, sah, tidak_sah = (q(c) for c in COUNTS[2:])
+    stats = [pemilih, pengguna, total, sah, tidak_sah]
+    large = F.col("large")
+    valid = ~F.col("blank_result") & F.col("has_donor") & (F.least(*stats) >= 0) & (large | (F.greatest(*stats) <= LIMIT)) & (total == sah + tidak_sah) & (pengguna == total) & (pengguna <= pemilih)
+    outlier = ~large & (F.greatest(*(q(c) for c in options)) > LIMIT)
+    rows = lent.join(names, "village_code", "left").withColumns({COUNTS[0]: pemilih, COUNTS[1]: pengguna, "stats_valid": valid, "vote_outlier": outlier, "contest": F.lit(contest)})
+    return rows.drop("registered", "users", "large")

@@ -20,6 +20,7 @@ from tabulara.plans.dealt import table
 from tabulara.schemas import COPY_FIELDS, COUNTS, GEO, PARTIES
 from tabulara.sources.files import set_digest
 
+PILPRES_OPTIONS = ["pemilih-1", "pemilih-2"]
 CONTESTS = ["dpr", "dprdprov", "dprdkab"]
 #: Provinces whose polling places may count more than 1000, as cleaned names.
 EXEMPT = ["+MANCANEGARA"]
@@ -226,13 +227,26 @@ def contest_totals(spark, d):
 
 
 def union_contests(spark, d):
-    """Four contests in one long result space: legacy rows with 20 options, presidential ones with two columns of voters; what one side lacks is null."""
+    """Valid votes of the four contests as delivered: legacy rows judged, of the presidential ones all that have a village, repeats included (its SQL is fixed). The judged union is union_totals."""
     long = A.village_totals(judged(spark, d)).select(T.path_key(*map(F.col, H.CODES)).alias("village_key"), "contest", q("suara-sah").alias("valid_votes"), "tps")
     s = _situs(spark, d).select("village_code", number_value(number_key(q("suara-sah"))).alias("v"))
     pilpres = s.join(spine(spark, d).select(F.col("concat").alias("village_code"), "key"), "village_code").groupBy("key").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("valid_votes"))
     return long.unionByName(pilpres.select(F.col("key").alias("village_key"), F.lit("pilpres").alias("contest"), "valid_votes"), allowMissingColumns=True)
 
 
+def pilpres_totals(spark, d):
+    """Village totals of the presidential contest: included rows of the export waterfall, participation lent by the other copy."""
+    s = spine(spark, d)
+    rows = X.export_rows(_situs(spark, d), s, [*PILPRES_OPTIONS, *COUNTS[2:]])
+    return A.village_totals(X.lent_rows(D.lend(rows, donor_index(spark, d)), s, "pilpres", PILPRES_OPTIONS, EXEMPT), PILPRES_OPTIONS)
+
+
+def union_totals(spark, d):
+    """Village totals of the four contests in one result space: legacy rows with 20 options, presidential ones with two, all with the nine stats; what one side lacks is null."""
+    both = A.village_totals(judged(spark, d)).unionByName(pilpres_totals(spark, d), allowMissingColumns=True)
+    return both.withColumn("village_key", T.path_key(*map(F.col, H.CODES))).drop(*H.CODES)
+
+
 def alias_spellings(spark, d):
     """Spellings of a village's name in the rows that are not the hierarchy's."""
     rows = A.included(judged(spark, d)).select(F.concat(*H.CODES).alias("concat"), "g4").distinct()
@@ -485,7 +499,7 @@ def rollup_star(spark, d):
 QUERIES = [
     hierarchy_flat, hierarchy_paths, hierarchy_recursive, hierarchy_repeated, hierarchy_reconcile, hierarchy_nested, clean_names, canonical_names, parse_int_edges, tps_numbers, year_extract, text_formats,
     judged_rows, concat_prefix_resolve, reject_waterfall, blank_rows, outlier_flags, conflict_classify, export_waterfall, donor_index, donor_conflicts, donor_join, donor_by_province, village_agg, district_agg,
-    rollup_national, source_totals, totals_reconcile, anomaly_counters, column_maxima, capped_examples, coverage_distinct, coverage_gap, file_counts, contest_totals, union_contests, alias_spellings, display_names,
+    rollup_national, source_totals, totals_reconcile, anomaly_counters, column_maxima, capped_examples, coverage_distinct, coverage_gap, file_counts, contest_totals, union_contests, union_totals, alias_spellings, display_names,
     winner_by_region, tie_villages, option_rank, option_share, tooltip_top3, bar_slices, source_note, turnout, coverage_note, turnout_domain, share_domain, colour_class, children_summary, table_sort_share, search_topk, export_csv_lines,
     unique_scope_index, chained_resolve, source_priority_match, village_match_stages, match_counts, unresolved_parents, vintage_breakdown, alias_join, code_bridge, best_overlap, doc_digest, tree_digest, props_json, geojson_bounds, geojson_area,
     geojson_dissolve, geojson_clean, geojson_collections, winner_by_region_star, first_wins_lineitem, rollup_star,

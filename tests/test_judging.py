@@ -111,3 +111,54 @@ def test_helpers(spark, rows):
     related = n.where(H.is_related(F.col("key"), "P1.2")).select("key")
     assert sorted(r.key for r in related.collect()) == ["P1", "P1.2", "P1.2.9", "P1.2.9.20"]
     assert V.search(n.withColumn("path_key", F.col("key")), "x").count() == 0
+
+
+def test_union_holds_judged_presidential_totals(spark, sf):
+    from collections import defaultdict
+
+    from tabulara.operators import aggregate as A
+    from tabulara.plans import results as R
+    from tabulara.plans.dealt import table
+    from tabulara.schemas import COUNTS, PARTIES
+
+    def number(t):
+        t = (t or "").strip()
+        try:
+            return int(t) if t else 0
+        except ValueError:
+            try:
+                return int(float(t)) if float(t).is_integer() else None
+            except ValueError:
+                return None
+
+    villages = {r.concat: (r.key, " ".join(r.namaprov.upper().split()) in R.EXEMPT) for r in R.spine(spark, sf).collect()}
+    donors = defaultdict(set)
+    for r in table(spark, sf, "pilpres_arsip").collect():
+        no, pair = "".join(x for x in r.tps or "" if x.isdigit()), (number(r["total-pemilih"]), number(r["total-pengguna"]))
+        blank = any(not (r[c] or "").strip() for c in COUNTS[:2])
+        if no and not blank and None not in pair and min(pair) >= 0:
+            donors[(r.id or "").strip()[:-9], int(no)].add(pair)
+    want, seen, dropped = {}, set(), 0
+    for r in table(spark, sf, "pilpres_situs").orderBy("row_no").collect():
+        code, no = (r.id or "").strip()[:-9], (r.tps or "").strip()
+        if code not in villages or not no.isdigit() or (code, int(no)) in seen:
+            dropped += code in villages
+            continue
+        seen.add((code, int(no)))
+        texts = [r[c] for c in (*R.PILPRES_OPTIONS, *COUNTS[2:])]
+        values = [number(t) for t in texts]
+        if None in values:
+            dropped += 1
+            continue
+        key, large = villages[code]
+        pairs = donors[code, int(no)]
+        blank = not any((t or "").strip() for t in texts)
+        stats = [*(next(iter(pairs)) if len(pairs) == 1 else (0, 0)), *values[2:]]
+        ok = not blank and len(pairs) == 1 and min(stats) >= 0 and (large or max(stats) <= 1000) and stats[2] == stats[3] + stats[4] and stats[1] == stats[2] and stats[1] <= stats[0]
+        row = [*values[:2], *(stats if ok else [0] * 5), 1, int(ok), int(blank), int(not large and max(values[:2]) > 1000)]
+        want[key] = [a + b for a, b in zip(want.get(key, [0] * 11), row, strict=True)]
+    union = R.union_totals(spark, sf)
+    assert set(union.columns) == {"village_key", "contest", *PARTIES, *R.PILPRES_OPTIONS, *A.STATS}
+    got = {r.village_key: [r[c] for c in (*R.PILPRES_OPTIONS, *A.STATS)] for r in union.where("contest = 'pilpres'").collect()}
+    assert got == want and dropped > 0 and sum(v[8] for v in want.values()) > 0
+    assert union.where("contest <> 'pilpres'").count() == A.village_totals(R.judged(spark, sf)).count()
