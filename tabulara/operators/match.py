@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabulara.functions.text import canonical, compact
 from tabulara.session import cut
@@ -102,13 +103,14 @@ def match_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("source", "method").agg(F.count("*").alias("n"))
 
 
-BRIDGE_REASONS = ["invalid_modern_code", "nonunique_selected_modern_code", "nonunique_global_modern_code", "missing_or_nonunique_historic_code", "modern_parent_regency_mismatch", "historic_parent_regency_mismatch"]
+BRIDGE_REASONS = ["invalid_modern_code", "nonunique_selected_modern_code", "nonunique_global_modern_code", "missing_or_nonunique_historic_code", "historic_feature_already_used", "modern_parent_regency_mismatch", "historic_parent_regency_mismatch"]
 
 
-def code_bridge(selected: DataFrame, modern: DataFrame, historic: DataFrame) -> DataFrame:
+def code_bridge(selected: DataFrame, modern: DataFrame, historic: DataFrame, sources: Sequence[str] = (), used: DataFrame | None = None) -> DataFrame:
     """selected (target, target_regency, source, fid, code, k_key) with `historic_fid` where its code leads to exactly one historic row of the same regency, else the first reason why not.
 
     A code counts by its digits: unique among the selected rows and among all modern rows (source, code) of its source, and borne by exactly one historic row (fid, code, k_key).
+    A historic row is used once: not if `used` (fid) has it already, else by the first row that passes everything, in the order of sources (those not named last, by name).
     """
     digits = F.regexp_replace(F.coalesce("code", F.lit("")), "[^0-9]", "")
     valid = F.coalesce(F.col("code").rlike(r"^\d{2}\.\d{2}\.\d{2}\.\d{4}$"), F.lit(False))
@@ -116,10 +118,21 @@ def code_bridge(selected: DataFrame, modern: DataFrame, historic: DataFrame) ->
     count = lambda df, name: df.groupBy("source", "digits").agg(F.count("*").alias(name))
     old = historic.withColumn("digits", digits).where(F.length("digits") == 10).groupBy("digits").agg(F.count("*").alias("n_old"), F.min("fid").alias("historic_fid"), F.min("k_key").alias("historic_k"))
     met = s.join(count(s.where("valid"), "n_sel"), ["source", "digits"], "left").join(count(modern.withColumn("digits", digits), "n_all"), ["source", "digits"], "left").join(old, "digits", "left")
-    tests = [
+    taken = F.lit(False)
+    if used is not None:
+        met = met.join(used.select(F.col("fid").alias("historic_fid"), F.lit(True).alias("taken")).distinct(), "historic_fid", "left")
+        taken = F.coalesce("taken", F.lit(False))
+    early = [
         ~F.col("valid"), F.col("n_sel") != 1, F.coalesce("n_all", F.lit(0)) != 1, F.coalesce("n_old", F.lit(0)) != 1,
+    ]
+    late = [
         ~F.col("k_key").eqNullSafe(F.col("target_regency")), ~F.col("historic_k").eqNullSafe(F.col("target_regency")),
     ]
+    passes = ~F.coalesce(F.greatest(*early, taken, *late), F.lit(True))
+    place = F.struct(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, sources)), F.col("source")), F.lit(0)), F.lit(len(sources) + 1)) if sources else F.lit(0), "source", "target")
+    rivals = Window.partitionBy("historic_fid", F.when(F.greatest(*early), F.col("target")))  # of rows that get so far, a historic row has at most one per source
+    met = met.withColumn("place", place).withColumn("first", F.min(F.when(passes, F.col("place"))).over(rivals))
+    tests = [*early, taken | F.coalesce(F.col("place") > F.col("first"), F.lit(False)), *late]
     reason = F.coalesce(*(F.when(t, F.lit(r)) for t, r in zip(tests, BRIDGE_REASONS, strict=True)))
     return met.select("target", "source", "fid", F.when(reason.isNull(), F.col("historic_fid")).alias("historic_fid"), reason.alias("block_reason"))
 

@@ -97,3 +97,17 @@ def test_code_bridge(spark):
 def test_unique_names(spark, rows):
     df = spark.createDataFrame([("a", "p", "N"), ("b", "p", "N"), ("c", "p", "M"), ("d", "q", "N")], "key string, parent_key string, canon string")
     assert rows(M.unique_names(df, "parent_key", "canon").select(F.col("scope"), "norm", "target")) == [("p", "M", "c"), ("q", "N", "d")]
+
+
+def test_code_bridge_uses_a_historic_row_once(spark, rows):
+    s = "target string, target_regency string, source string, fid bigint, code string, k_key string"
+    data = [
+        ("t1", "k", "a", 1, "11.22.33.4444", "k"), ("t2", "k", "b", 1, "11.22.33.4444", "k"), ("t3", "k", "c", 1, "11.22.33.4444", "z"),
+        ("t4", "k", "b", 2, "11.22.33.5555", "z"), ("t5", "k", "a", 2, "11.22.33.5555", "k"), ("t6", "k", "a", 3, "11.22.33.6666", "k"),
+    ]
+    modern = spark.createDataFrame([(r[2], r[4]) for r in data], "source string, code string")
+    old = spark.createDataFrame([(9, "1122334444", "k"), (10, "1122335555", "k"), (11, "1122336666", "k")], "fid bigint, code string, k_key string")
+    used = spark.createDataFrame([(11,)], "fid bigint")
+    got = rows(M.code_bridge(spark.createDataFrame(data, s), modern, old, ["b", "a"], used).select("target", "historic_fid", "block_reason"))
+    again = "historic_feature_already_used"
+    assert got == [("t1", None, again), ("t2", 9, None), ("t3", None, again), ("t4", None, "modern_parent_regency_mismatch"), ("t5", 10, None), ("t6", None, again)]
