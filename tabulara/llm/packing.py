@@ -2,7 +2,8 @@
 
 A text longer than the capacity is cut into full parts, which are containers by themselves, and a rest; every other text stays whole. The items of a capacity are dealt evenly, by a hash of their row,
 to shards of about SHARD_ITEMS: a shard is packed by one task, and what sharding can cost is less than one container a shard. In a shard a best-fit pass gives the first packing; then a local search over the
-underfull containers, emptiest first, moves a text to another container, exchanges one for one or two for one, each step raising the sum of squared fills, until containers empty or no step is left.
+underfull containers, emptiest first, moves a text to another container, exchanges one for one or two for one, each step raising the sum of squared fills, until no step is left or after PASSES: each pass tries the emptiest
+eighth as donors, and where that has no step all the others.
 
 Nulls and edge cases: null and empty texts have no tokens and lie, with 0 tokens, in the shard's first container; a row stands for itself, so repeated rows and repeated doc_ids are packed each; ties are
 settled by row; capacities below 1 or null are left out; an empty table gives an empty result; extra columns are ignored.
@@ -131,7 +132,8 @@ def pack_items(sizes: list[int], capacity: int, best_fit: bool = True) -> list[i
     for _ in range(PASSES):
         under = sorted((b for b in range(len(bins.fill)) if 0 < bins.fill[b] < UNDERFULL * capacity), key=bins.fill.__getitem__)
         others = under[::-1]
-        if not any([_improve(bins, a, others) for a in under[: max(8, len(under) // 8)]]):
+        eighth = max(8, len(under) // 8)
+        if not any([_improve(bins, a, others) for a in under[:eighth]]) and not any([_improve(bins, a, others) for a in under[eighth:]]):
             break
     place = [0] * len(sizes)
     for no, b in enumerate(b for b in range(len(bins.fill)) if bins.items[b]):

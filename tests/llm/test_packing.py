@@ -98,3 +98,20 @@ def test_empty(spark):
     kinds = spark.createDataFrame([(1, 64)], "capacity_id int, max_tokens int")
     assert P.fill_containers(sizes, kinds).collect() == []
     assert P.fill_containers(spark.createDataFrame([(1, 5)], sizes.schema), kinds.where("false")).collect() == []
+
+
+def test_search_leaves_no_step():
+    import random
+
+    from tabulara.llm import packing
+
+    for seed in (17, 24, 26, 29, 34):
+        rnd = random.Random(seed)
+        sizes = [rnd.randint(1, 60) for _ in range(400)]
+        bins = packing._Bins(100)
+        for i, (size, b) in enumerate(zip(sizes, packing.pack_items(sizes, 100, best_fit=False), strict=True)):
+            while b >= len(bins.fill):
+                bins.open()
+            bins.put(b, (size, i))
+        under = sorted((b for b in range(len(bins.fill)) if bins.fill[b] < packing.UNDERFULL * 100), key=bins.fill.__getitem__)
+        assert not any([packing._improve(bins, a, under[::-1]) for a in under])
