@@ -21,7 +21,7 @@ SNAP, GRID = 5, 7
 
 
 def from_geojson(feature: Column) -> Column:
-    """The polygons of a GeoJSON geometry (JSON text): Polygon and MultiPolygon, and those inside one level of GeometryCollection; null for others. A third coordinate is dropped."""
+    """The polygons of a GeoJSON geometry (JSON text): Polygon and MultiPolygon; null for others, GeometryCollection too. A third coordinate is dropped."""
     kind = F.get_json_object(feature, "$.type")
     coords = F.get_json_object(feature, "$.coordinates")
     rings = lambda p: F.transform(p, lambda r: F.transform(r, lambda xy: F.struct(xy[0].alias("x"), xy[1].alias("y"))))
