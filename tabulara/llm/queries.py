@@ -26,7 +26,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
     encoded = cut(subjects.encode_sentences(_table(spark, d, "documents")))
-    return subjects.assign_subjects(encoded, subjects.fit_topics(encoded))
+    return subjects.assign_subjects(encoded, subjects.fit_topics(encoded), _table(spark, d, "subject_area"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +39,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_topics(spark: SparkSession, d: str) -> DataFrame:
     documents = _table(spark, d, "documents")
-    return subjects.topic_terms(documents, subjects.fit_topics(cut(subjects.encode_sentences(documents))))
+    return subjects.topic_terms(documents, subjects.fit_topics(cut(subjects.encode_sentences(documents))), _table(spark, d, "subject_area"))
 
 
 def queries() -> dict:
