@@ -62,6 +62,12 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A stored table over at least as many partitions as there are cores: a small one may lie in fewer files than that. Larger ones stay as they are."""
+    n = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(n) if table.rdd.getNumPartitions() < n else table
+
+
 def ship_code(spark: SparkSession) -> None:
     """Gives the executors this package, once per session, where they don't have it on their path."""
     sc = spark.sparkContext
