@@ -12,6 +12,7 @@ repeated rows and repeated doc_ids give a row each; an empty table gives an empt
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -163,3 +164,19 @@ def token_ids(documents: DataFrame, vocabulary: str = f"{TOKENIZER_DIR}/{VOCABUL
 def token_counts(documents: DataFrame, vocabulary: str = f"{TOKENIZER_DIR}/{VOCABULARY}") -> DataFrame:
     """(doc_id, n_tokens bigint) of every row; null and empty texts have 0."""
     return _over_texts(documents, vocabulary, "bigint", PieceCounts, _id_counts).withColumnRenamed("x", "n_tokens")
+
+
+def decoded_hashes(encoded: DataFrame, vocabulary: str = f"{TOKENIZER_DIR}/{VOCABULARY}") -> DataFrame:
+    """(doc_id, n_ids, sha256 of the bytes that the ids stand for) of rows (doc_id, ids): the way back, to prove an encoding."""
+    ship_code(encoded.sparkSession)
+    with open(vocabulary, "rb") as f:
+        shared = encoded.sparkSession.sparkContext.broadcast(f.read())
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = {i: token for token, i in read_ranks(shared.value).items()}
+        for batch in batches:
+            ids = [x.as_py() for x in batch.column(1)]
+            sha = [hashlib.sha256(b"".join(map(parts.__getitem__, x))).hexdigest() for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_ids", "sha256"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(rows, "doc_id bigint, n_ids bigint, sha256 string")
