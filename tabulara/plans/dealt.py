@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabulara.functions.text import blank, clean_name, trimmed
 from tabulara.operators import archive, diff, orphans, profile, rowparse
 from tabulara.schemas import CONTEST_COLUMNS, COPY_FIELDS, COUNTS, GEO, PARTIES
+from tabulara.session import spread
 
 PROFILED = ["pkb", "suara-tidak-sah", "total-pemilih"]
 CONTEST_ROWS = rowparse.RowSchema(CONTEST_COLUMNS, {"id": rowparse.DIGITS, "tps": rowparse.TPS, "total-pemilih": rowparse.COUNT}, frozenset({"total-pemilih"}))
@@ -22,6 +23,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def rows_of(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table of rows on which much is computed."""
+    return spread(table(spark, d, name))
+
+
 def _names(columns: list[str]) -> Column:
     return F.concat_ws("\x1f", *(clean_name(F.col(c)) for c in columns))
 
@@ -37,7 +43,7 @@ def _village_refs(facts: DataFrame, name: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "wilayah")
-    refs = _village_refs(table(spark, d, "hasil_tps"), "hasil_tps").unionByName(_village_refs(table(spark, d, "pilpres_situs"), "pilpres_situs"))
+    refs = _village_refs(rows_of(spark, d, "hasil_tps"), "hasil_tps").unionByName(_village_refs(rows_of(spark, d, "pilpres_situs"), "pilpres_situs"))
     codes = F.struct(F.lit("id").alias("field"), F.concat("kodeprov", "kodekab", "kodekec", "kodekel").alias("key"))
     names = F.struct(F.lit("kelurahan").alias("field"), _names(["namaprov", "namakab", "namakec", "namakel"]).alias("key"))
     dim = w.select(F.explode(F.array(codes, names)).alias("r"), F.col("created_at").alias("begins"), F.col("deleted_at").alias("ends")).select("r.*", "begins", "ends")
@@ -49,7 +55,7 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return rowparse.parse_rows(table(spark, d, "rekaman_mentah"), "raw_line", CONTEST_ROWS)
+    return rowparse.parse_rows(rows_of(spark, d, "rekaman_mentah"), "raw_line", CONTEST_ROWS)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +71,7 @@ def p2_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _archive(spark: SparkSession, d: str) -> DataFrame:
-    return archive.read_archive(spark, archive.write_archive(table(spark, d, "desa_file")))
+    return archive.read_archive(spark, archive.write_archive(rows_of(spark, d, "desa_file")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,33 +96,33 @@ def p3_consolidated(spark: SparkSession, d: str, path: str | None = None) -> Dat
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    counts = profile.value_counts(table(spark, d, "hasil_tps"), PROFILED)
+    counts = profile.value_counts(rows_of(spark, d, "hasil_tps"), PROFILED)
     return profile.load_findings(profile.load_changes(counts, table(spark, d, "muatan")))
 
 
 def p4_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile.profile(profile.value_counts(table(spark, d, "hasil_tps"), [*PARTIES, *COUNTS]))
+    return profile.profile(profile.value_counts(rows_of(spark, d, "hasil_tps"), [*PARTIES, *COUNTS]))
 
 
 def p4_changes(spark: SparkSession, d: str) -> DataFrame:
-    counts = profile.value_counts(table(spark, d, "hasil_tps"), [*PARTIES, *COUNTS])
+    counts = profile.value_counts(rows_of(spark, d, "hasil_tps"), [*PARTIES, *COUNTS])
     return profile.load_changes(counts, table(spark, d, "muatan")).withColumn("findings", F.array_join("findings", ","))
 
 
 def p4_profile_all(spark: SparkSession, d: str) -> DataFrame:
     """p4_profile for all 38 columns; texts have n_texts, min_text, max_text and q…_text."""
-    texts = profile.profile(profile.text_counts(table(spark, d, "hasil_tps"), TEXTS))
+    texts = profile.profile(profile.text_counts(rows_of(spark, d, "hasil_tps"), TEXTS))
     return p4_profile(spark, d).unionByName(profile.named_as_text(texts), allowMissingColumns=True)
 
 
 def p4_changes_all(spark: SparkSession, d: str) -> DataFrame:
     """p4_changes for all 38 columns."""
-    texts = profile.load_changes(profile.text_counts(table(spark, d, "hasil_tps"), TEXTS), table(spark, d, "muatan")).withColumn("findings", F.array_join("findings", ","))
+    texts = profile.load_changes(profile.text_counts(rows_of(spark, d, "hasil_tps"), TEXTS), table(spark, d, "muatan")).withColumn("findings", F.array_join("findings", ","))
     return p4_changes(spark, d).unionByName(profile.named_as_text(texts), allowMissingColumns=True)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return diff.copy_differences(table(spark, d, "pilpres_situs"), table(spark, d, "pilpres_arsip"), ("situs", "arsip"), "id", "row_no", COPY_FIELDS)
+    return diff.copy_differences(rows_of(spark, d, "pilpres_situs"), rows_of(spark, d, "pilpres_arsip"), ("situs", "arsip"), "id", "row_no", COPY_FIELDS)
 
 
 def queries() -> dict:

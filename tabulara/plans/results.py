@@ -16,7 +16,7 @@ from tabulara.operators import hierarchy as H
 from tabulara.operators import match as M
 from tabulara.operators import validate as X
 from tabulara.operators.validate import q
-from tabulara.plans.dealt import table
+from tabulara.plans.dealt import rows_of, table
 from tabulara.schemas import COPY_FIELDS, COUNTS, GEO, PARTIES
 from tabulara.sources.files import set_digest
 
@@ -36,13 +36,13 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
-    return X.contest_rows(table(spark, d, "hasil_tps"), spine(spark, d), EXEMPT)
+    return X.contest_rows(rows_of(spark, d, "hasil_tps"), spine(spark, d), EXEMPT)
 
 
 def rolled(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of all levels above the village with their results, parent and name."""
     s = spine(spark, d)
-    districts = A.district_totals(A.village_totals(X.contest_rows(table(spark, d, "hasil_tps"), s, EXEMPT)))
+    districts = A.district_totals(A.village_totals(X.contest_rows(rows_of(spark, d, "hasil_tps"), s, EXEMPT)))
     up = A.national_rollup(districts, s, CONTESTS)
     named = H.nodes(s).select("key", "name")
     parent = F.when(F.col("level") == 0, F.lit(None).cast("string")).when(F.col("level") == 1, "P").otherwise(T.parent_key(F.col("key")))
@@ -138,7 +138,7 @@ def conflict_classify(spark, d):
 
 
 def _situs(spark, d):
-    t = table(spark, d, "pilpres_situs")
+    t = rows_of(spark, d, "pilpres_situs")
     code = T.trimmed(F.col("id"))
     return t.select(F.lit("situs").alias("file_path"), "row_no", F.substring(code, F.lit(1), F.length(code) - 9).alias("village_code"), "tps", "provinsi", *(q(c) for c in COPY_FIELDS))
 
@@ -148,7 +148,7 @@ def export_waterfall(spark, d):
 
 
 def _donors(spark, d):
-    t = table(spark, d, "pilpres_arsip")
+    t = rows_of(spark, d, "pilpres_arsip")
     code = T.trimmed(F.col("id"))
     rows = t.select("row_no", F.substring(code, F.lit(1), F.length(code) - 9).alias("village_code"), T.tps_digits(F.col("tps")).alias("tps_no"), *(number_key(q(c)).alias(a) for c, a in (("total-pemilih", "registered"), ("total-pengguna", "users"))))
     rows = rows.withColumns({c: number_value(F.col(c)) for c in ("registered", "users")})
@@ -434,7 +434,7 @@ def props_json(spark, d):
 
 
 def _features(spark, d):
-    f = table(spark, d, "desa_file").select("file_id", F.explode(F.from_json(F.get_json_object("content", "$.features"), "ARRAY<STRUCT<properties:STRUCT<key:STRING,name:STRING,level:STRING,source:STRING,match:STRING>,geometry:STRING>>")).alias("f"))
+    f = rows_of(spark, d, "desa_file").select("file_id", F.explode(F.from_json(F.get_json_object("content", "$.features"), "ARRAY<STRUCT<properties:STRUCT<key:STRING,name:STRING,level:STRING,source:STRING,match:STRING>,geometry:STRING>>")).alias("f"))
     return f.select("file_id", "f.properties.*", G.from_geojson(F.col("f.geometry")).alias("g"))
 
 
