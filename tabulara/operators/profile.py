@@ -14,15 +14,18 @@ Columns of texts (`text_counts`) go the same way: every non-missing text, trimme
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabulara.functions.numbers import number_key, number_value, unreadable
 from tabulara.functions.text import trimmed
-from tabulara.session import cut, shuffle_parts
+from tabulara.session import cut, ship_code, shuffle_parts
 
 #: Changes beyond these are findings; as whole thousandths, to be compared exactly.
 NULL_RATE, PATTERN, VALUE_RANGE, DISTRIBUTION = 50, 20, 20, 250
@@ -52,15 +55,50 @@ def named_as_text(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(names | {c: c + "_text" for c in df.columns if c[0] == "q" and c[1:].isdigit()})
 
 
+def _running(batches: Iterator[pa.RecordBatch], group: list[str], value: str, sums: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sorted batches with in_<s>, the sum of s over the rows of the group so far, and `last`, true for the last row of each value. The last row of a batch waits for the next one."""
+    key, total, waiting = None, np.zeros(len(sums), np.int64), None
+
+    def done(rows: pa.RecordBatch, n: int) -> pa.RecordBatch:
+        nonlocal key, total
+        equal = lambda c: pc.equal(rows.column(c).slice(1), rows.column(c).slice(0, rows.num_rows - 1)).to_numpy(zero_copy_only=False)
+        same = np.logical_and.reduce([equal(c) for c in group])
+        last = np.append(~(same & equal(value)), True)[:n]
+        begins = np.concatenate([[key != [rows.column(c)[0] for c in group]], ~same])[:n]
+        start = np.maximum.accumulate(np.where(begins, np.arange(n), -1))
+        out = []
+        for i, name in enumerate(sums):
+            each = rows.column(name).to_numpy(zero_copy_only=False)[:n].astype(np.int64)
+            so_far = np.cumsum(each)
+            out.append(so_far - np.where(start >= 0, (so_far - each)[start], -total[i]))
+            total[i] = out[-1][-1]
+        key = [rows.column(c)[n - 1] for c in group]
+        names = [*rows.schema.names, *(f"in_{s}" for s in sums), "last"]
+        return pa.RecordBatch.from_arrays([*rows.slice(0, n).columns, *map(pa.array, out), pa.array(last)], names=names)
+
+    for batch in batches:
+        if batch.num_rows:
+            rows = batch if waiting is None else pa.concat_batches([waiting, batch])
+            if rows.num_rows > 1:
+                yield done(rows, rows.num_rows - 1)
+            waiting = rows.slice(rows.num_rows - 1)
+    if waiting is not None:
+        yield done(waiting, 1)
+
+
 def prefix_sums(counts: DataFrame, group: list[str], value: str, sums: list[str]) -> DataFrame:
-    """counts with cum_<s>: the sum of s over all rows of its group up to its value (one row per group and value). No task holds more than one range partition."""
-    ranged = counts.repartitionByRange(shuffle_parts(counts.sparkSession), *group, value)
-    ranged = cut(ranged.withColumn("part", F.spark_partition_id()))
+    """counts with cum_<s>: the sum of s over all rows of its group up to its value, and `last`, true for the last row of each value (before that, rows of the same value may follow). group and value are not null.
+
+    One exchange, by range: equal values meet in one sorted partition, and no task holds more than one partition.
+    """
+    ship_code(counts.sparkSession)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema) + "".join(f", in_{s} bigint" for s in sums) + ", last boolean"
+    ranged = counts.repartitionByRange(shuffle_parts(counts.sparkSession), *group, value).sortWithinPartitions(*group, value)
+    ranged = cut(ranged.mapInArrow(lambda batches: _running(batches, group, value, sums), schema).withColumn("part", F.spark_partition_id()))
     parts = ranged.groupBy(*group, "part").agg(*(F.sum(s).alias(f"sum_{s}") for s in sums))  # at most partitions + groups rows
     earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(*group, "part", *(F.coalesce(F.sum(f"sum_{s}").over(earlier), F.lit(0)).alias(f"off_{s}") for s in sums))
-    within = Window.partitionBy(*group, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.withColumns({f"in_{s}": F.sum(s).over(within) for s in sums}).join(offsets, [*group, "part"]).select(*counts.columns, *((F.col(f"in_{s}") + F.col(f"off_{s}")).alias(f"cum_{s}") for s in sums))
+    return ranged.join(offsets, [*group, "part"]).select(*counts.columns, *((F.col(f"in_{s}") + F.col(f"off_{s}")).alias(f"cum_{s}") for s in sums), "last")
 
 
 def load_stats(counts: DataFrame) -> DataFrame:
@@ -109,14 +147,13 @@ def load_changes(counts: DataFrame, loads: DataFrame) -> DataFrame:
     prev = numbers.withColumnRenamed("load_id", "prev_load_id").join(pairs.select(*key, "prev_load_id"), ["column_name", "prev_load_id"])
     prev = prev.select(*key, "prev_load_id", "value", F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b"))
     key = [*key, "prev_load_id"]
-    merged = own.unionByName(prev).groupBy(*key, "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    curves = prefix_sums(merged, key, "value", ["a", "b"]).join(pairs.select(*key, "n_numbers", "p_n_numbers", "p_min_value", "p_max_value"), key)
+    curves = prefix_sums(own.unionByName(prev), key, "value", ["a", "b"]).join(pairs.select(*key, "n_numbers", "p_n_numbers", "p_min_value", "p_max_value"), key)
     outside = (F.col("value") < F.col("p_min_value")) | (F.col("value") > F.col("p_max_value"))
     na, nb = F.col("n_numbers"), F.col("p_n_numbers")
     met = curves.groupBy(*key).agg(
         F.sum(F.when(outside, F.col("a")).otherwise(0)).alias("n_outside"),
-        F.max(F.abs(F.try_divide("cum_a", na) - F.try_divide("cum_b", nb))).alias("ks"),
-        F.coalesce(F.max(_gap(F.col("cum_a"), na, F.col("cum_b"), nb, DISTRIBUTION)), F.lit(False)).alias("far"),
+        F.max(F.when(F.col("last"), F.abs(F.try_divide("cum_a", na) - F.try_divide("cum_b", nb)))).alias("ks"),
+        F.coalesce(F.max(F.when(F.col("last"), _gap(F.col("cum_a"), na, F.col("cum_b"), nb, DISTRIBUTION))), F.lit(False)).alias("far"),
     )
     c, p = (lambda name: F.col("n_" + name)), (lambda name: F.col("p_n_" + name))
     tests = {

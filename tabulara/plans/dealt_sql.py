@@ -97,6 +97,30 @@ P4_PROFILE = (
   SELECT column_name, load_id, quantile_disc(v, 0.25) AS q25, quantile_disc(v, 0.5) AS q50, quantile_disc(v, 0.75) AS q75 FROM read WHERE v IS NOT NULL GROUP BY ALL) USING (column_name, load_id)"""
 )
 
+_NAMED = "(?s).*\\p{L}.*"
+_TEXT_PATTERNS = {
+    "id": "[0-9]+", "provinsi": _NAMED, "kabupaten": _NAMED, "kecamatan": _NAMED, "kelurahan": _NAMED, "tps": f"([Tt][Pp][Ss]{_WS}*)?[0-9]+",
+    "timestamp": "([0-9]{4}-[0-9]{2}-[0-9]{2}[ T]|[0-9]{2}/[0-9]{2}/[0-9]{4} )[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?Z?", **{f"c1-{i}": r"[^ \t\n\x0B\f\r]+[.][A-Za-z0-9]+" for i in range(1, 7)},
+}
+
+
+def _p4_texts() -> str:
+    cells = " UNION ALL ".join(f"""SELECT load_id, '{c}' AS column_name, {strip(f'"{c}"')} AS t, regexp_full_match({strip(f'"{c}"')}, '{x}') AS fits FROM hasil_tps""" for c, x in _TEXT_PATTERNS.items())
+    return f"""WITH cells AS ({cells}), read AS (SELECT load_id, column_name, nullif(t, '') AS v, fits FROM cells),
+  stats AS (SELECT column_name, load_id, count(*) AS n_rows, count(*) - count(v) AS n_missing, count(*) FILTER (v IS NOT NULL AND NOT fits) AS n_unreadable, count(v) AS n_numbers, count(DISTINCT v) AS n_distinct,
+    min(v) AS min_value, max(v) AS max_value FROM read GROUP BY ALL)"""
+
+
+def _as_text(sql: str, before: str = "") -> str:
+    columns = ", ".join(f"{b}n_numbers AS {b}n_texts, {b}min_value AS {b}min_text, {b}max_value AS {b}max_text" for b in dict.fromkeys(("", before)))
+    gone = ", ".join(f"{b}{c}" for b in dict.fromkeys(("", before)) for c in ("n_numbers", "min_value", "max_value"))
+    quantiles = "" if before else ", q25, q50, q75"
+    return f"SELECT * EXCLUDE ({gone}{quantiles}), {columns}{'' if before else ', q25 AS q25_text, q50 AS q50_text, q75 AS q75_text'} FROM ({sql})"
+
+
+P4_PROFILE_ALL = f"SELECT * FROM ({P4_PROFILE}) UNION ALL BY NAME {_as_text(P4_PROFILE.replace(_p4(_ALL), _p4_texts()))}"
+P4_CHANGES_ALL = f"SELECT * FROM ({P4_CHANGES}) UNION ALL BY NAME {_as_text(P4_CHANGES.replace(_p4(_ALL), _p4_texts()), 'p_')}"
+
 
 def _copy(table: str) -> str:
     return f"""SELECT {strip("id")} AS id, {", ".join(f'{number_key(f'"{c}"')} AS k{i}' for i, c in enumerate(COPY_FIELDS))} FROM (
@@ -120,5 +144,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": P4,
         "p4_profile": P4_PROFILE,
         "p4_changes": P4_CHANGES,
+        "p4_profile_all": P4_PROFILE_ALL,
+        "p4_changes_all": P4_CHANGES_ALL,
         "p5_found": P5,
     }
