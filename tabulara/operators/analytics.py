@@ -5,13 +5,13 @@ results: one row per node and contest with key, contest, one column per option a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabulara.functions.text import csv_cell
+from tabulara.functions.text import column_key, csv_cell
 from tabulara.operators.aggregate import STATS
 from tabulara.operators.validate import q
 
@@ -125,3 +125,13 @@ def export_lines(results: DataFrame, options: Sequence[str]) -> DataFrame:
     """(parent_key, contest, line): a CSV line per child, absent figures empty."""
     cells = [F.col("key"), F.col("name"), F.col("level"), present().cast("int"), F.when(present(), total_of(options)), *(q(c) for c in STATS), *(q(c) for c in options)]
     return results.select("parent_key", "key", "contest", F.concat_ws(",", *(csv_cell(c) for c in cells)).alias("line"))
+
+
+def option_dimension(columns: DataFrame, labels: Mapping[str, str]) -> DataFrame:
+    """columns (contest, column, ordinal as delivered) with their place (1 …) and label: those of labels in its order, matched by column_key, then the unknown ones as delivered, labelled by their own words."""
+    known = F.create_map(*(x for i, (c, label) in enumerate(labels.items()) for x in (F.lit(c), F.struct(F.lit(i).alias("i"), F.lit(label).alias("label")))))
+    met = columns.withColumn("k", F.try_element_at(known, column_key(F.col("column"))))
+    met = met.withColumn("k", F.coalesce("k", F.try_element_at(known, F.col("column"))))
+    place = F.row_number().over(Window.partitionBy("contest").orderBy(F.coalesce("k.i", F.lit(1 << 20)), "ordinal"))
+    own = F.initcap(F.regexp_replace("column", "[-_]+", " "))
+    return met.select("contest", "column", place.alias("place"), F.coalesce("k.label", own).alias("label"), F.col("k").isNotNull().alias("known"))

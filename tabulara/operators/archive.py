@@ -39,6 +39,9 @@ _BLOCK_PA = pa.schema(
     [("block_id", pa.string()), ("n_files", pa.int64()), ("n_bytes", pa.int64()), ("first_path", pa.string()), ("last_path", pa.string()), ("entries", pa.list_(_ENTRY_PA)), ("payload", pa.binary())]
 )
 
+#: A row group for each block of the usual size, so that the blocks of a container can be read by several tasks.
+_GROUPS = {"parquet.block.size": str(BLOCK_BYTES), "parquet.page.size.row.check.min": "1"}
+
 FEATURE_ENTRY = "struct<run_id:int,key:string,file_id:bigint,ordinal:int,n_copies:bigint,offset:bigint,length:bigint,sha256:string>"
 FEATURE_BLOCKS = f"block_id string, n_features bigint, n_bytes bigint, first_run int, last_run int, entries array<{FEATURE_ENTRY}>, payload binary"
 _PLACE_PA = [("run_id", pa.int32()), ("key", pa.string()), ("file_id", pa.int64()), ("ordinal", pa.int32()), ("n_copies", pa.int64())]
@@ -83,7 +86,7 @@ def pack(files: DataFrame, block_bytes: int = BLOCK_BYTES, file_bytes: int = FIL
 def write_archive(files: DataFrame, path: str | None = None, **sizes: int) -> str:
     """Packs files into containers under path and returns it. Without a path they lie in the shared folder until the application ends."""
     at = path or scratch_path(files.sparkSession, "archive")
-    pack(files, **sizes).write.parquet(at)
+    pack(files, **sizes).write.options(**_GROUPS).parquet(at)
     if path is None:
         delete_at_exit(files.sparkSession, at)
     return at
@@ -267,7 +270,7 @@ def pack_features(kept: DataFrame, block_bytes: int = BLOCK_BYTES, file_bytes: i
 
 def write_consolidated(archive: DataFrame, path: str, **sizes: int) -> str:
     """Packs the kept features into containers under path, where they stay, and returns it."""
-    pack_features(kept_features(archive), **sizes).write.parquet(path)
+    pack_features(kept_features(archive), **sizes).write.options(**_GROUPS).parquet(path)
     return path
 
 

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from tabulara.functions.numbers import number_key
 from tabulara.functions.text import blank, trimmed
-from tabulara.session import shuffle_parts
+from tabulara.session import cut, shuffle_parts
 
 
 def _reduced(df: DataFrame, key: str, order: str, fields: Sequence[str], side: int) -> DataFrame:
@@ -35,7 +35,7 @@ def _reduced(df: DataFrame, key: str, order: str, fields: Sequence[str], side: i
 
 def copy_differences(left: DataFrame, right: DataFrame, names: tuple[str, str], key: str, order: str, fields: Sequence[str]) -> DataFrame:
     """(id, field, kind): kind is missing_in_<name> with field *, or differs with the field."""
-    both = _reduced(left, key, order, fields, 0).unionByName(_reduced(right, key, order, fields, 1))
+    both = cut(_reduced(left, key, order, fields, 0).unionByName(_reduced(right, key, order, fields, 1)))  # the split points are sampled from it before it is shuffled
     ranged = both.repartitionByRange(shuffle_parts(left.sparkSession), "id").sortWithinPartitions("id", "side")
     w = Window.partitionBy("id").orderBy("side")
     merged = ranged.withColumn("next", F.lead(F.struct("v")).over(w)).withColumn("before", F.lag("side").over(w))

@@ -203,3 +203,21 @@ def clean(df: DataFrame, geometry: str, tolerance: float) -> DataFrame:
     out = out.withColumn("cleaned", how)
     kept = F.when(F.col("cleaned") == "simplified", thin).when(F.col("cleaned") == "snapped", F.col("_snapped")).when(F.col("cleaned") == "kept", raw)
     return out.withColumn(geometry, kept).drop("_raw", "_snapped")
+
+
+def joined_parts(parts: DataFrame, key: str, source: str, match: str, geometry: str) -> DataFrame:
+    """One row per key of its parts: the geometry of all of them, the sources joined by +, and the method, parts_union where there are several parts."""
+    named = parts.where(F.col(geometry).isNotNull()).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(source)), "+").alias(source), F.when(F.count("*") > 1, "parts_union").otherwise(F.min(match)).alias(match))
+    return dissolve(parts.where(F.col(geometry).isNotNull()), [key], geometry).join(named, key)
+
+
+def derived_parents(children: DataFrame, every: DataFrame, geometry: str, source: str) -> DataFrame:
+    """(parent_key, geometry, source, match): parents derived from children (parent_key, key, geometry), only where all their children in `every` (parent_key, key) have a geometry."""
+    some = children.where(F.col(geometry).isNotNull()).select("parent_key", "key", geometry)
+    met = every.select("parent_key", "key").distinct().join(some, ["parent_key", "key"], "left").withColumn("_whole", F.col(geometry).isNotNull())
+    return dissolve(met, ["parent_key"], geometry, complete="_whole").select("parent_key", geometry, F.lit(source).alias("source"), F.lit("union").alias("match"))
+
+
+def direct_first(direct: DataFrame, derived: DataFrame, key: str) -> DataFrame:
+    """The direct rows, and of the derived ones those whose key has no direct one."""
+    return direct.unionByName(derived.join(direct.select(key), key, "left_anti"))

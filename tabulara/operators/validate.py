@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tabulara.functions.numbers import number_key, number_value, unreadable
 from tabulara.functions.text import blank, clean_name, tps_plain, trimmed
 from tabulara.operators.hierarchy import districts
-from tabulara.schemas import COUNTS, GEO, PARTIES
+from tabulara.schemas import COUNTS, EXPORT_NAMES, GEO, PARTIES
 
 MEASURES = [*PARTIES, *COUNTS]
 #: Fixed value: counts beyond it are doubted, except in provinces that the caller names.
@@ -125,6 +125,11 @@ def contest_rows(delivered: DataFrame, villages: DataFrame, exempt: Sequence[str
     return rows.withColumn("reject_reason", reason).withColumn("stats_valid", valid).withColumn("vote_outlier", outlier).drop("early", "is_first", "is_repeat")
 
 
+def named_exports(exports: DataFrame) -> DataFrame:
+    """Rows of the export files with the column names of the other contests; village_code and tps are their two ids."""
+    return exports.withColumnsRenamed({**EXPORT_NAMES, "id_wilayah": "village_code", "id_tps": "tps"})
+
+
 def export_rows(delivered: DataFrame, villages: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Rows (file_path, row_no, village_code, tps, measures) judged by the waterfall of the exports: unknown_village_id, unreadable_tps, duplicate_natural_tps_key, malformed_numeric.
 

@@ -82,6 +82,11 @@ def p3_index(spark: SparkSession, d: str) -> DataFrame:
     return archive.archive_index(_archive(spark, d)).select("file_id", "run_id", "path", "length", "sha256")
 
 
+def p3_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every file cut out of its block by offset and length, checked against its checksum, with the hash of what came out."""
+    return archive.unpack(_archive(spark, d)).select("file_id", "path", F.sha2("content", 256).alias("sha256"))
+
+
 def p3_store(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
     """The consolidated features in blocks, a partition per container file: written out, they are the few files asked for. With a path they are kept there and read from it."""
     files = _archive(spark, d)
@@ -126,4 +131,4 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_loaded, p2_status, p3_found, p3_index, p3_store, p3_consolidated, p4_found, p4_profile, p4_changes, p4_profile_all, p4_changes_all, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_loaded, p2_status, p3_found, p3_index, p3_lookup, p3_store, p3_consolidated, p4_found, p4_profile, p4_changes, p4_profile_all, p4_changes_all, p5_found)}

@@ -140,6 +140,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_loaded": P2_LOADED,
         "p3_found": P3,
         "p3_index": P3_INDEX,
+        "p3_lookup": "SELECT file_id, path, sha256(content) AS sha256 FROM desa_file",
         "p3_consolidated": P3_CONSOLIDATED,
         "p4_found": P4,
         "p4_profile": P4_PROFILE,

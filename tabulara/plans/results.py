@@ -17,8 +17,9 @@ from tabulara.operators import match as M
 from tabulara.operators import validate as X
 from tabulara.operators.validate import q
 from tabulara.plans.dealt import rows_of, table
-from tabulara.schemas import COPY_FIELDS, COUNTS, GEO, PARTIES
+from tabulara.schemas import CONTEST_OPTIONS, COPY_FIELDS, COUNTS, GEO, PARTIES, PARTY_OPTIONS
 from tabulara.sources.files import set_digest
+from tabulara.sources.publish import audit
 
 PILPRES_OPTIONS = ["pemilih-1", "pemilih-2"]
 CONTESTS = ["dpr", "dprdprov", "dprdkab"]
@@ -84,6 +85,14 @@ def hierarchy_nested(spark, d):
     return H.nested_hierarchy(spine(spark, d)).select("k", F.size(kab).alias("n_regencies"), F.size(kec).alias("n_districts"), F.size(kel).alias("n_villages"), F.array_max(F.transform(kel, lambda x: x["n"])).alias("last_name"))
 
 
+def hierarchy_with_results(spark, d):
+    """As hierarchy_nested, of the villages that have results in some contest only."""
+    have = A.included(judged(spark, d)).select(*H.CODES).distinct()
+    some = H.nested_hierarchy(spine(spark, d).join(have, list(H.CODES), "left_semi"))
+    kec = F.flatten(F.transform(F.from_json("json", "kab ARRAY<STRUCT<kec:ARRAY<STRUCT<kel:ARRAY<STRUCT<k:STRING>>>>>>")["kab"], lambda x: x["kec"]))
+    return some.select("k", F.size(kec).alias("n_districts"), F.size(F.flatten(F.transform(kec, lambda x: x["kel"]))).alias("n_villages"))
+
+
 def clean_names(spark, d):
     names = table(spark, d, "hasil_tps").select(F.explode(F.array(*(q(c) for c in GEO))).alias("raw")).distinct()
     return names.select("raw", T.clean_name(F.col("raw")).alias("name"))
@@ -247,6 +256,23 @@ def union_totals(spark, d):
     return both.withColumn("village_key", T.path_key(*map(F.col, H.CODES))).drop(*H.CODES)
 
 
+def contest_options(spark, d):
+    """Ballot order and labels of the options as the tables' columns have them, an unknown one last."""
+    columns = lambda t: [c for c in table(spark, d, t).columns if c in CONTEST_OPTIONS or c in PARTIES]
+    rows = [("pilpres", c, i) for i, c in enumerate(columns("pilpres_situs"))] + [("dpr", c, i) for i, c in enumerate(["calon-lain", *columns("hasil_tps")])]
+    return V.option_dimension(spark.createDataFrame(rows, "contest string, column string, ordinal int"), CONTEST_OPTIONS | PARTY_OPTIONS)
+
+
+def audit_sections(spark, d):
+    """The audit of a build, assembled as one JSON document and read back: how many entries each section has."""
+    j = judged(spark, d)
+    whole = audit({"rejects": j.groupBy("contest", "reject_reason").agg(F.count("*").alias("n")), "totals": A.contest_totals(j), "coverage": A.coverage(j)})
+    names = ["rejects", "totals", "coverage"]
+    sections = F.explode(F.array(*(F.struct(F.lit(n).alias("section"), F.json_array_length(F.get_json_object("json", f"$.{n}")).alias("n")) for n in names))).alias("s")
+    stamped = F.get_json_object("json", "$.generated_at").rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z\z")
+    return whole.select(sections, stamped.alias("stamped")).select("s.*", "stamped")
+
+
 def alias_spellings(spark, d):
     """Spellings of a village's name in the rows that are not the hierarchy's."""
     rows = A.included(judged(spark, d)).select(F.concat(*H.CODES).alias("concat"), "g4").distinct()
@@ -455,6 +481,26 @@ def geojson_dissolve(spark, d):
     return whole.select("parent_key", F.size("g").alias("n_parts"), F.round(G.area(G.snapped(F.col("g"))), 6).alias("area"))
 
 
+def _first_features(spark, d):
+    """The record of each key that comes first."""
+    f = _features(spark, d).where("key IS NOT NULL AND g IS NOT NULL").withColumn("ordinal", F.monotonically_increasing_id())
+    return f.groupBy("key").agg(F.min_by(F.struct("source", "match", "g"), F.struct("file_id", "ordinal")).alias("x")).select("key", "x.*", T.parent_key(F.col("key")).alias("parent_key"))
+
+
+def geojson_parents(spark, d):
+    """Districts whose villages all have an outline, derived from them."""
+    every = nodes(spark, d).where("level = 4").select("parent_key", "key")
+    return G.derived_parents(_first_features(spark, d).select("parent_key", "key", "g"), every, "g", "derived-complete-villages").select("parent_key", "source", "match")
+
+
+def geojson_provenance(spark, d):
+    """Districts outlined by the villages that came as direct outlines: joined sources, and parts_union where there are several."""
+    parts = _first_features(spark, d).select(F.col("parent_key").alias("key"), "source", "match", "g")
+    direct = G.joined_parts(parts, "key", "source", "match", "g")
+    derived = G.derived_parents(_first_features(spark, d).select("parent_key", "key", "g"), nodes(spark, d).where("level = 4").select("parent_key", "key"), "g", "derived-complete-villages").withColumnRenamed("parent_key", "key")
+    return G.direct_first(direct.where(F.contains("source", F.lit("+"))), derived, "key").select("key", "source", "match")
+
+
 def geojson_clean(spark, d):
     """What cleaning did to the village outlines, by layer."""
     g = G.clean(_features(spark, d), "g", G.TOLERANCE["village"])
@@ -497,12 +543,12 @@ def rollup_star(spark, d):
 
 
 QUERIES = [
-    hierarchy_flat, hierarchy_paths, hierarchy_recursive, hierarchy_repeated, hierarchy_reconcile, hierarchy_nested, clean_names, canonical_names, parse_int_edges, tps_numbers, year_extract, text_formats,
+    hierarchy_flat, hierarchy_paths, hierarchy_recursive, hierarchy_repeated, hierarchy_reconcile, hierarchy_nested, hierarchy_with_results, clean_names, canonical_names, parse_int_edges, tps_numbers, year_extract, text_formats,
     judged_rows, concat_prefix_resolve, reject_waterfall, blank_rows, outlier_flags, conflict_classify, export_waterfall, donor_index, donor_conflicts, donor_join, donor_by_province, village_agg, district_agg,
-    rollup_national, source_totals, totals_reconcile, anomaly_counters, column_maxima, capped_examples, coverage_distinct, coverage_gap, file_counts, contest_totals, union_contests, union_totals, alias_spellings, display_names,
+    rollup_national, source_totals, totals_reconcile, anomaly_counters, column_maxima, capped_examples, coverage_distinct, coverage_gap, file_counts, contest_totals, union_contests, union_totals, pilpres_totals, contest_options, audit_sections, alias_spellings, display_names,
     winner_by_region, tie_villages, option_rank, option_share, tooltip_top3, bar_slices, source_note, turnout, coverage_note, turnout_domain, share_domain, colour_class, children_summary, table_sort_share, search_topk, export_csv_lines,
     unique_scope_index, chained_resolve, source_priority_match, village_match_stages, match_counts, unresolved_parents, vintage_breakdown, alias_join, code_bridge, best_overlap, doc_digest, tree_digest, props_json, geojson_bounds, geojson_area,
-    geojson_dissolve, geojson_clean, geojson_collections, winner_by_region_star, first_wins_lineitem, rollup_star,
+    geojson_dissolve, geojson_parents, geojson_provenance, geojson_clean, geojson_collections, winner_by_region_star, first_wins_lineitem, rollup_star,
 ]
 
 

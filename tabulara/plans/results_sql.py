@@ -80,6 +80,25 @@ DONORS = f"""WITH donors AS (SELECT * FROM (SELECT row_no, {_CODE('')} AS villag
   index_ AS (SELECT village_code, tps_no, any_value(registered) AS registered, any_value(users) AS users FROM donors GROUP BY ALL HAVING count(DISTINCT ROW(registered, users)) = 1)"""
 LENT = f"""{DONORS}, situs AS ({_SITUS}), lent AS (SELECT row_no, provinsi, coalesce(registered, 0) AS registered, coalesce(users, 0) AS users, registered IS NOT NULL AS has_donor FROM situs LEFT JOIN index_ USING (village_code, tps_no))"""
 
+_VOTES = ["pemilih-1", "pemilih-2"]
+_READ = [*_VOTES, *COUNTS[2:]]
+PILPRES = f"""WITH {SPINE}, {DONORS.removeprefix("WITH ")}, situs AS ({_SITUS}),
+  waiting AS (SELECT s.*, kodeprov, kodekab, kodekec, kodekel, {name("namaprov")} = '+MANCANEGARA' AS large FROM situs s JOIN spine ON village_code = concat WHERE tps_no IS NOT NULL),
+  kept AS (SELECT * FROM waiting QUALIFY row_number() OVER (PARTITION BY village_code, tps_no ORDER BY row_no) = 1),
+  good AS (SELECT kodeprov, kodekab, kodekec, kodekel, large, {" AND ".join(f"{qq(c)} IS NULL" for c in _READ)} AS empty_, registered IS NOT NULL AS donor, coalesce(registered, 0) AS r, coalesce(users, 0) AS u, {", ".join(f"coalesce({value(qq(c))}, 0) AS v{i}" for i, c in enumerate(_READ))}
+    FROM kept LEFT JOIN index_ USING (village_code, tps_no) WHERE NOT ({" OR ".join(f"coalesce({qq(c)}[1] = '!', false)" for c in _READ)})),
+  gated AS (SELECT *, NOT empty_ AND donor AND least(r, u, v2, v3, v4) >= 0 AND (large OR greatest(r, u, v2, v3, v4) <= 1000) AND v2 = v3 + v4 AND u = v2 AND u <= r AS ok, NOT large AND greatest(v0, v1) > 1000 AS far FROM good),
+  pilpres_villages AS (SELECT kodeprov, kodekab, kodekec, kodekel, 'pilpres' AS contest, {", ".join(f'CAST(sum({e}) AS BIGINT) AS {qq(c)}' for c, e in [(_VOTES[0], "v0"), (_VOTES[1], "v1"), *((c, f"CASE WHEN ok THEN {v} ELSE 0 END") for c, v in zip(COUNTS, ("r", "u", "v2", "v3", "v4"), strict=True)), *zip(STATS[5:], ("1", "CAST(ok AS INTEGER)", "CAST(empty_ AS INTEGER)", "CAST(far AS INTEGER)"), strict=True)])} FROM gated GROUP BY ALL)"""
+_OPTIONS = "SELECT * FROM (VALUES " + ", ".join(
+    [f"('{k}', '{c}', {i}, '{label}', {known})" for k, rows in (
+        ("pilpres", [("pemilih-1", "Jokowi–Ma''ruf", "true"), ("pemilih-2", "Prabowo–Sandi", "true")]),
+        ("dpr", [*zip(PARTIES, "PKB|Gerindra|PDI-P|Golkar|NasDem|Garuda|Berkarya|PKS|Perindo|PPP|PSI|PAN|Hanura|Demokrat|PA|SIRA|PDA|PNA|PBB|PKPI".split("|"), ["true"] * 20, strict=True), ("calon-lain", "Calon Lain", "false")]),
+    ) for i, (c, label, known) in enumerate(rows, 1)]
+) + ") t(contest, \"column\", place, label, known)"
+_FIRST = f"""WITH {NODES}, whole AS (SELECT file_id, unnest(json_extract(content, '$.features[*]')) AS f, generate_subscripts(json_extract(content, '$.features[*]'), 1) AS ordinal FROM desa_file),
+  first_ AS (SELECT f->'properties'->>'key' AS key, f->'properties'->>'source' AS source, f->'properties'->>'match' AS match FROM whole
+    WHERE (f->'properties'->>'key') IS NOT NULL AND (f->'geometry'->>'type') IN ('Polygon', 'MultiPolygon') QUALIFY row_number() OVER (PARTITION BY (f->'properties'->>'key') ORDER BY file_id, ordinal) = 1)"""
+
 
 def canon(x: str) -> str:
     t = f"replace(upper(regexp_replace(strip_accents(coalesce({x}, '')), '[^\\x00-\\x7F]', '', 'g')), '&', ' DAN ')"
@@ -138,6 +157,16 @@ def oracle_sql() -> dict[str, str]:
         "hierarchy_reconcile": f"WITH a AS (SELECT DISTINCT {_CODE('')} AS code FROM pilpres_situs), b AS (SELECT DISTINCT {_CODE('')} AS code FROM pilpres_arsip) SELECT code, 'left' AS side FROM a WHERE code NOT IN (SELECT code FROM b) UNION ALL SELECT code, 'right' FROM b WHERE code NOT IN (SELECT code FROM a)",
         "hierarchy_nested": f"WITH {SPINE} SELECT kodeprov AS k, count(DISTINCT kodekab) AS n_regencies, count(DISTINCT ROW(kodekab, kodekec)) AS n_districts, count(*) AS n_villages, max(namakel) AS last_name FROM spine GROUP BY kodeprov",
         "clean_names": f"SELECT raw, {name("coalesce(raw, '')")} AS name FROM ({' UNION '.join(f'SELECT {c} AS raw FROM hasil_tps' for c in GEO)})",
+        "hierarchy_with_results": judged(f"SELECT kodeprov AS k, count(DISTINCT ROW(kodekab, kodekec)) AS n_districts, count(*) AS n_villages FROM spine WHERE key IN (SELECT 'P' || {pkey} FROM judged WHERE reject_reason IS NULL) GROUP BY kodeprov"),
+        "contest_options": _OPTIONS,
+        "audit_sections": judged("""SELECT 'rejects' AS section, count(DISTINCT ROW(contest, reject_reason)) AS n, true AS stamped FROM judged UNION ALL SELECT 'totals', count(DISTINCT contest) + 1, true FROM judged
+          UNION ALL SELECT 'coverage', count(DISTINCT contest), true FROM judged WHERE reject_reason IS NULL"""),
+        "pilpres_totals": PILPRES + " SELECT * FROM pilpres_villages",
+        "union_totals": totals(f""", {PILPRES.removeprefix("WITH ").removeprefix(SPINE + ", ")}, both_ AS (SELECT * FROM villages UNION ALL BY NAME SELECT * FROM pilpres_villages) SELECT * EXCLUDE ({", ".join(CODES)}), 'P' || {pkey} AS village_key FROM both_"""),
+        "geojson_parents": f"""{_FIRST} SELECT d.parent_key, 'derived-complete-villages' AS source, 'union' AS match FROM nodes d LEFT JOIN first_ f ON f.key = d.key WHERE level = 4 GROUP BY d.parent_key HAVING count(f.key) = count(*)""",
+        "geojson_provenance": f"""{_FIRST}, direct AS (SELECT regexp_replace(key, '[.][^.]*$', '') AS key, string_agg(DISTINCT source, '+' ORDER BY source) AS source, CASE WHEN count(*) > 1 THEN 'parts_union' ELSE min(match) END AS match FROM first_ GROUP BY 1),
+          derived AS (SELECT d.parent_key AS key FROM nodes d LEFT JOIN first_ f ON f.key = d.key WHERE level = 4 GROUP BY d.parent_key HAVING count(f.key) = count(*)), plus AS (SELECT * FROM direct WHERE contains(source, '+'))
+          SELECT * FROM plus UNION ALL SELECT key, 'derived-complete-villages', 'union' FROM derived WHERE key NOT IN (SELECT key FROM plus)""",
         "canonical_names": f"SELECT raw, {canon('raw')} AS canon, {tight(canon('raw'))} AS tight FROM ({' UNION '.join(f'SELECT {c} AS raw FROM wilayah' for c in NAMES)})",
         "parse_int_edges": f"""SELECT text, coalesce({value("k")}, CASE WHEN regexp_full_match({strip("text")}, '[+-]?[0-9.eE+-]+') THEN CAST(trunc(TRY_CAST({strip("text")} AS DOUBLE)) AS BIGINT) END, 0) AS value, coalesce(k[1] = '!', false) AS malformed
           FROM (SELECT text, {number_key("text")} AS k FROM ({" UNION ".join(f"SELECT {qq(c)} AS text FROM hasil_tps" for c in MEASURES)}))""",

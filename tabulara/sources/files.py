@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import zipfile
 from collections.abc import Sequence
@@ -94,6 +95,12 @@ def read_partition(spark: SparkSession, base: str, column: str, value: str, sche
     return spark.read.schema(schema).option("basePath", base).parquet(f"{base}/{column}={value}") if there else spark.createDataFrame([], schema)
 
 
+def read_stems(spark: SparkSession, folder: str, stem: str, suffix: str = ".json") -> DataFrame:
+    """(path, content) of the files of a folder whose whole stem matches a pattern, such as four digits."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return files.where(F.regexp_replace(F.substring_index("path", "/", -1), re.escape(suffix) + "$", "").rlike(f"\\A(?:{stem})\\z"))
+
+
 def describe(df: DataFrame, n: int = 5) -> tuple[list[str], int, DataFrame]:
     """(field names, number of rows, first n rows): a look into a source."""
     return df.columns, df.count(), df.limit(n)

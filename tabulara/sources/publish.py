@@ -7,7 +7,8 @@ import json
 import os
 import shutil
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
@@ -64,6 +65,15 @@ def audit_row(df: DataFrame) -> DataFrame:
     return df.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("json"))
 
 
+def audit(sections: Mapping[str, DataFrame]) -> DataFrame:
+    """One row (json): an object with generated_at, an ISO UTC time, and each small report as an array of its rows."""
+    parts = [audit_row(df).select(F.lit(name).alias("section"), "json") for name, df in sections.items()]
+    joined = reduce(DataFrame.unionByName, parts).agg(F.sort_array(F.collect_list(F.struct("section", "json"))).alias("s"))
+    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    body = F.array_join(F.transform("s", lambda x: F.concat(F.lit('"'), x["section"], F.lit('":'), F.coalesce(x["json"], F.lit("[]")))), ",")
+    return joined.select(F.concat(F.lit('{"generated_at":"'), stamp, F.lit('",'), body, F.lit("}")).alias("json"))
+
+
 class PublishError(RuntimeError):
     """A publish that failed and was undone (or could not be undone: then the backups stay)."""
 
