@@ -4,7 +4,7 @@
 2. Groups with at least 1/HEAVY_GROUPS of all references are heavy: at most HEAVY_GROUPS of them, whatever the input, so their verdicts can be broadcast. All others are light.
 3. Each group meets the life spans of its key, heavy ones through a broadcast of the heavy keys, light ones through a shuffled join, and gets a verdict: every reference of the period
    is covered by one span, or none matches at all, or the references have to be looked at one by one.
-4. The references that belong to a group without full cover are taken from the facts (heavy: broadcast join, light: shuffled join), checked against the few spans that touch the
+4. The references that belong to a group without full cover are taken from the facts (heavy: broadcast join, light: a broadcast filter by hash slot, then a shuffled join), checked against the few spans that touch the
    period, and both parts are united.
 
 Nulls and edge cases: a reference with a null key or time is none; a null `begins` counts as always begun, a null `ends` as still live; an empty dimension makes every reference
@@ -21,6 +21,8 @@ from tabulara.session import cut
 
 #: The largest number of groups treated as heavy: each has at least this fraction of all references.
 HEAVY_GROUPS = 1024
+#: Hash slots of the groups without full cover, a filter of at most so many numbers: most references of other groups meet none and are never shuffled.
+SLOTS = 1 << 18
 GROUP = ["field", "key", "period"]
 _FAR_PAST, _FAR_FUTURE = "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"
 
@@ -82,10 +84,12 @@ def orphan_references(refs: DataFrame, dimension: DataFrame) -> DataFrame:
     groups = reference_groups(refs)
     spans = life_spans(dimension)
     heavy = cut(_verdicts(groups.where("heavy"), spans, few=True))
-    light = _verdicts(groups.where("not heavy"), spans, few=False).where("verdict <> 'covered'")
+    light = cut(_verdicts(groups.where("not heavy"), spans, few=False).where("verdict <> 'covered'"))
+    slot = F.pmod(F.xxhash64(*GROUP), F.lit(SLOTS)).cast("int").alias("slot")
+    slots = F.broadcast(light.select(slot).distinct())  # at most SLOTS numbers
     hot = F.broadcast(heavy)  # at most HEAVY_GROUPS rows
     hot_rows = refs.join(F.broadcast(heavy.where("verdict <> 'covered'")), GROUP)
-    other_rows = refs.join(hot.select(*GROUP), GROUP, "left_anti").join(light, GROUP)
+    other_rows = refs.join(hot.select(*GROUP), GROUP, "left_anti").join(slots, slot == slots["slot"], "left_semi").join(light, GROUP)
     return _reasons(hot_rows).unionByName(_reasons(other_rows))
 
 
