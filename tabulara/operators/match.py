@@ -109,7 +109,7 @@ BRIDGE_REASONS = ["invalid_modern_code", "nonunique_selected_modern_code", "nonu
 def code_bridge(selected: DataFrame, modern: DataFrame, historic: DataFrame, sources: Sequence[str] = (), used: DataFrame | None = None) -> DataFrame:
     """selected (target, target_regency, source, fid, code, k_key) with `historic_fid` where its code leads to exactly one historic row of the same regency, else the first reason why not.
 
-    A code counts by its digits: unique among the selected rows and among all modern rows (source, code) of its source, and borne by exactly one historic row (fid, code, k_key).
+    A code counts by its digits: unique among the selected rows and among all modern rows (source, code) of its source with a valid code, and borne by exactly one historic row (fid, code, k_key).
     A historic row is used once: not if `used` (fid) has it already, else by the first row that passes everything, in the order of sources (those not named last, by name).
     """
     digits = F.regexp_replace(F.coalesce("code", F.lit("")), "[^0-9]", "")
@@ -117,7 +117,7 @@ def code_bridge(selected: DataFrame, modern: DataFrame, historic: DataFrame, sou
     s = selected.withColumn("digits", digits).withColumn("valid", valid)
     count = lambda df, name: df.groupBy("source", "digits").agg(F.count("*").alias(name))
     old = historic.withColumn("digits", digits).where(F.length("digits") == 10).groupBy("digits").agg(F.count("*").alias("n_old"), F.min("fid").alias("historic_fid"), F.min("k_key").alias("historic_k"))
-    met = s.join(count(s.where("valid"), "n_sel"), ["source", "digits"], "left").join(count(modern.withColumn("digits", digits), "n_all"), ["source", "digits"], "left").join(old, "digits", "left")
+    met = s.join(count(s.where("valid"), "n_sel"), ["source", "digits"], "left").join(count(modern.where(valid).withColumn("digits", digits), "n_all"), ["source", "digits"], "left").join(old, "digits", "left")
     taken = F.lit(False)
     if used is not None:
         met = met.join(used.select(F.col("fid").alias("historic_fid"), F.lit(True).alias("taken")).distinct(), "historic_fid", "left")

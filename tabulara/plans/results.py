@@ -475,16 +475,14 @@ def geojson_area(spark, d):
 
 def geojson_dissolve(spark, d):
     """Each district's outline from its villages (the first record of a key), simplified and snapped."""
-    f = _features(spark, d).where("key IS NOT NULL AND g IS NOT NULL")
-    one = f.groupBy("key").agg(F.min_by("g", "file_id").alias("g")).withColumn("parent_key", T.parent_key(F.col("key")))
-    whole = G.simplify(G.dissolve(one, ["parent_key"], "g"), "g", G.TOLERANCE["district"])
+    whole = G.simplify(G.dissolve(_first_features(spark, d), ["parent_key"], "g"), "g", G.TOLERANCE["district"])
     return whole.select("parent_key", F.size("g").alias("n_parts"), F.round(G.area(G.snapped(F.col("g"))), 6).alias("area"))
 
 
 def _first_features(spark, d):
     """The record of each key that comes first."""
     f = _features(spark, d).where("key IS NOT NULL AND g IS NOT NULL").withColumn("ordinal", F.monotonically_increasing_id())
-    return f.groupBy("key").agg(F.min_by(F.struct("source", "match", "g"), F.struct("file_id", "ordinal")).alias("x")).select("key", "x.*", T.parent_key(F.col("key")).alias("parent_key"))
+    return f.groupBy("key").agg(F.min_by(F.struct("name", "level", "source", "match", "g"), F.struct("file_id", "ordinal")).alias("x")).select("key", "x.*", T.parent_key(F.col("key")).alias("parent_key"))
 
 
 def geojson_parents(spark, d):
@@ -509,8 +507,7 @@ def geojson_clean(spark, d):
 
 def geojson_collections(spark, d):
     """The layout for readers: one collection per district of the hierarchy, empty ones included."""
-    f = _features(spark, d).where("key IS NOT NULL AND g IS NOT NULL")
-    one = f.groupBy("key").agg(F.min_by(F.struct("name", "level", "source", "match", "g"), "file_id").alias("x")).select("key", "x.*")
+    one = _first_features(spark, d)
     feature = G.feature_json(*(F.col(c) for c in ("key", "name", "level", "source", "match", "g")))
     content = G.collections(nodes(spark, d).where("level = 3").select(F.col("key").alias("parent_key")), one.select(T.parent_key(F.col("key")).alias("parent_key"), "key", feature.alias("feature")))
     return content.select("parent_key", F.coalesce(F.json_array_length(F.get_json_object("content", "$.features")), F.lit(0)).alias("n_features"))

@@ -19,7 +19,8 @@ def test_equals_sql(spark, con, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+    rows = QUERIES[name](spark, sf).collect()
+    assert rows and any(v is not None for v in rows[0])
 
 
 def test_entry_imports_without_session():
