@@ -46,10 +46,15 @@ def life_spans(dimension: DataFrame) -> DataFrame:
     return islands.groupBy("field", "key", "island").agg(F.min("begins").alias("begins"), F.max("ends").alias("ends")).drop("island")
 
 
-def reference_groups(refs: DataFrame) -> DataFrame:
-    """refs: table_name, row_no, field, key, at, period. One row per group with its size n, first and last time, and whether it is heavy."""
-    groups = cut(refs.groupBy(*GROUP).agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at")))
-    total = groups.agg(F.sum("n")).first()[0] or 0
+def table_groups(refs: DataFrame) -> DataFrame:
+    """refs: table_name, row_no, field, key, at, period. One row per table and group with its number of references n, and first and last time."""
+    return cut(refs.groupBy("table_name", *GROUP).agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at")))
+
+
+def reference_groups(per_table: DataFrame) -> DataFrame:
+    """table_groups added up over the tables, and whether a group is heavy."""
+    groups = per_table.groupBy(*GROUP).agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    total = per_table.agg(F.sum("n")).first()[0] or 0
     return groups.withColumn("heavy", F.col("n") * HEAVY_GROUPS >= F.lit(total))
 
 
@@ -75,24 +80,47 @@ def _reasons(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("verdict") != "covered") & ~live).select("table_name", "row_no", "field", reason.alias("reason"), "period")
 
 
-def orphan_references(refs: DataFrame, dimension: DataFrame) -> DataFrame:
-    """One row per orphan reference: table_name, row_no, field, reason (missing, deleted, later), period.
-
-    refs: table_name, row_no, field, key, at (timestamp_ntz), period. dimension: field, key, begins, ends (timestamp_ntz).
-    """
-    refs = refs.select("table_name", "row_no", "field", "key", "at", "period").where(F.col("key").isNotNull() & F.col("at").isNotNull())
-    groups = reference_groups(refs)
-    spans = life_spans(dimension)
+def _uncovered(per_table: DataFrame, dimension: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keys of heavy groups, verdicts of heavy groups, verdicts of light groups), the verdicts of groups without full cover."""
+    groups, spans = reference_groups(per_table), life_spans(dimension)
     heavy = cut(_verdicts(groups.where("heavy"), spans, few=True))
     light = cut(_verdicts(groups.where("not heavy"), spans, few=False).where("verdict <> 'covered'"))
+    return heavy.select(*GROUP), heavy.where("verdict <> 'covered'"), light
+
+
+def _rows_of(refs: DataFrame, hot: DataFrame, heavy: DataFrame, light: DataFrame) -> DataFrame:
+    """The references of the groups, with their reasons."""
     slot = F.pmod(F.xxhash64(*GROUP), F.lit(SLOTS)).cast("int").alias("slot")
     slots = F.broadcast(light.select(slot).distinct())  # at most SLOTS numbers
-    hot = F.broadcast(heavy)  # at most HEAVY_GROUPS rows
-    hot_rows = refs.join(F.broadcast(heavy.where("verdict <> 'covered'")), GROUP)
-    other_rows = refs.join(hot.select(*GROUP), GROUP, "left_anti").join(slots, slot == slots["slot"], "left_semi").join(light, GROUP)
+    hot_rows = refs.join(F.broadcast(heavy), GROUP)  # at most HEAVY_GROUPS rows
+    other_rows = refs.join(F.broadcast(hot), GROUP, "left_anti").join(slots, slot == slots["slot"], "left_semi").join(light, GROUP)
     return _reasons(hot_rows).unionByName(_reasons(other_rows))
 
 
+def _references(refs: DataFrame) -> DataFrame:
+    return refs.select("table_name", "row_no", "field", "key", "at", "period").where(F.col("key").isNotNull() & F.col("at").isNotNull())
+
+
+def orphan_references(refs: DataFrame, dimension: DataFrame) -> DataFrame:
+    """One row per orphan reference: table_name, row_no, field, reason (missing, deleted, later), period.
+
+    refs: table_name, row_no, field, key, at (timestamp_ntz), period. dimension: field, key, begins, ends (timestamp_ntz).
+    """
+    refs = _references(refs)
+    return _rows_of(refs, *_uncovered(table_groups(refs), dimension))
+
+
+def orphan_counts(refs: DataFrame, dimension: DataFrame) -> DataFrame:
+    """orphan_report without the rows: groups that nothing matches count as they were pre-aggregated, only the references of groups covered in part are looked at, and both counts are united."""
+    refs = _references(refs)
+    per_table = table_groups(refs)
+    hot, heavy, light = _uncovered(per_table, dimension)
+    none = heavy.unionByName(light).where("verdict = 'missing'").select(*GROUP)
+    missing = per_table.join(none, GROUP, "left_semi").select("table_name", "period", "field", F.lit("missing").alias("reason"), "n")
+    looked = _rows_of(refs, hot, heavy.where("verdict = 'rows'"), light.where("verdict = 'rows'")).select("table_name", "period", "field", "reason", F.lit(1).cast("bigint").alias("n"))
+    return missing.unionByName(looked).groupBy("table_name", "period", "field", "reason").agg(F.sum("n").alias("n_orphans"))
+
+
 def orphan_report(orphans: DataFrame) -> DataFrame:
     """Orphan references counted per table, period, field and reason."""
     return orphans.groupBy("table_name", "period", "field", "reason").agg(F.count("*").alias("n_orphans"))

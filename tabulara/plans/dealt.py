@@ -41,17 +41,21 @@ def _village_refs(facts: DataFrame, name: str) -> DataFrame:
     return rows.select(F.lit(name).alias("table_name"), "row_no", "r.field", "r.key", "at", F.date_format("at", "yyyy-MM").alias("period")).where("key is not null")
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
+def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     w = table(spark, d, "wilayah")
     refs = _village_refs(rows_of(spark, d, "hasil_tps"), "hasil_tps").unionByName(_village_refs(rows_of(spark, d, "pilpres_situs"), "pilpres_situs"))
     codes = F.struct(F.lit("id").alias("field"), F.concat("kodeprov", "kodekab", "kodekec", "kodekel").alias("key"))
     names = F.struct(F.lit("kelurahan").alias("field"), _names(["namaprov", "namakab", "namakec", "namakel"]).alias("key"))
     dim = w.select(F.explode(F.array(codes, names)).alias("r"), F.col("created_at").alias("begins"), F.col("deleted_at").alias("ends")).select("r.*", "begins", "ends")
-    return orphans.orphan_references(refs, dim)
+    return refs, dim
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.orphan_references(*_references(spark, d))
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_report(p1_found(spark, d))
+    return orphans.orphan_counts(*_references(spark, d))
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:

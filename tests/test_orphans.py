@@ -40,6 +40,7 @@ def test_against_brute_force(spark, rows):
     got = orphans.orphan_references(spark.createDataFrame(refs, REFS), spark.createDataFrame(dim, DIM))
     assert rows(got) == sorted(brute(refs, dim), key=repr)
     assert sum(r.n_orphans for r in orphans.orphan_report(got).collect()) == len(brute(refs, dim))
+    assert rows(orphans.orphan_counts(spark.createDataFrame(refs, REFS), spark.createDataFrame(dim, DIM))) == rows(orphans.orphan_report(got))
 
 
 def test_all_light_and_all_heavy(spark, rows, monkeypatch):
@@ -52,6 +53,6 @@ def test_all_light_and_all_heavy(spark, rows, monkeypatch):
 
 def test_empty_sides(spark, rows):
     none, no_dim = spark.createDataFrame([], REFS), spark.createDataFrame([], DIM)
-    assert rows(orphans.orphan_references(none, no_dim)) == []
+    assert rows(orphans.orphan_references(none, no_dim)) == [] and rows(orphans.orphan_counts(none, no_dim)) == []
     one = spark.createDataFrame([("a", 1, "id", "k" * 100_000, T0, "2019-01", 0, 0, "")], REFS)
     assert rows(orphans.orphan_references(one, no_dim)) == [("a", 1, "id", "missing", "2019-01")]
