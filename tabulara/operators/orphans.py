@@ -51,10 +51,10 @@ def table_groups(refs: DataFrame) -> DataFrame:
     return cut(refs.groupBy("table_name", *GROUP).agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at")))
 
 
-def reference_groups(per_table: DataFrame) -> DataFrame:
-    """table_groups added up over the tables, and whether a group is heavy."""
-    groups = per_table.groupBy(*GROUP).agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
-    total = per_table.agg(F.sum("n")).first()[0] or 0
+def reference_groups(counted: DataFrame) -> DataFrame:
+    """The groups of references, or of table_groups, with n, first_at and last_at: these added up, and whether a group is heavy."""
+    groups = cut(counted.groupBy(*GROUP).agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")))
+    total = groups.agg(F.sum("n")).first()[0] or 0
     return groups.withColumn("heavy", F.col("n") * HEAVY_GROUPS >= F.lit(total))
 
 
@@ -80,9 +80,9 @@ def _reasons(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("verdict") != "covered") & ~live).select("table_name", "row_no", "field", reason.alias("reason"), "period")
 
 
-def _uncovered(per_table: DataFrame, dimension: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _uncovered(counted: DataFrame, dimension: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(keys of heavy groups, verdicts of heavy groups, verdicts of light groups), the verdicts of groups without full cover."""
-    groups, spans = reference_groups(per_table), life_spans(dimension)
+    groups, spans = reference_groups(counted), life_spans(dimension)
     heavy = cut(_verdicts(groups.where("heavy"), spans, few=True))
     light = cut(_verdicts(groups.where("not heavy"), spans, few=False).where("verdict <> 'covered'"))
     return heavy.select(*GROUP), heavy.where("verdict <> 'covered'"), light
@@ -107,7 +107,8 @@ def orphan_references(refs: DataFrame, dimension: DataFrame) -> DataFrame:
     refs: table_name, row_no, field, key, at (timestamp_ntz), period. dimension: field, key, begins, ends (timestamp_ntz).
     """
     refs = _references(refs)
-    return _rows_of(refs, *_uncovered(table_groups(refs), dimension))
+    each = refs.select(*GROUP, F.lit(1).alias("n"), F.col("at").alias("first_at"), F.col("at").alias("last_at"))
+    return _rows_of(refs, *_uncovered(each, dimension))
 
 
 def orphan_counts(refs: DataFrame, dimension: DataFrame) -> DataFrame:
