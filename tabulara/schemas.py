@@ -10,10 +10,10 @@ CONTEST_COLUMNS = ["id", *GEO, "tps", "timestamp", *PARTIES, *COUNTS, *(f"c1-{i}
 DONOR_COLUMNS = ["id", *GEO, "tps", "timestamp", "pemilih-1", "pemilih-2", *COUNTS, "c1-1", "c1-2"]
 HIERARCHY_COLUMNS = ["kodeprov", "namaprov", "kodekab", "namakab", "kodekec", "namakec"]
 COPY_FIELDS = ["pemilih-1", "pemilih-2", *COUNTS]
-#: The per-province presidential exports, and what their count columns are elsewhere.
+#: The columns of the per-province presidential exports, and what their count columns are elsewhere.
 EXPORT_COLUMNS = ["provinsi", "kabupaten", "kecamatan", "kelurahan", "id_wilayah", "id_tps", "pas1", "pas2", "sah", "tSah", "jum"]
 EXPORT_NAMES = {"pas1": "pemilih-1", "pas2": "pemilih-2", "sah": "suara-sah", "tSah": "suara-tidak-sah", "jum": "suara-total"}
-#: Ballot order and short labels of the options.
+#: Ballot order and short labels of the options.
 CONTEST_OPTIONS = {"pemilih-1": "Jokowi–Ma'ruf", "pemilih-2": "Prabowo–Sandi"}
 PARTY_OPTIONS = {
     "pkb": "PKB", "gerinda": "Gerindra", "pdip": "PDI-P", "golkar": "Golkar", "nasdem": "NasDem", "garuda": "Garuda", "berkarya": "Berkarya", "pks": "PKS", "perindo": "Perindo", "ppp": "PPP",
