@@ -1,9 +1,8 @@
 """Subject areas of texts by a distributed latent Dirichlet topic model.
 
 1. `encode_sentences` cuts every text into sentences and words. A word is folded (case, accents, the usual misreadings of l, o and m, marks of no width) and hashed into BUCKETS buckets.
-2. `fit_topics` fits TOPICS topics to the texts without any list of words: variational EM whose expectations are taken in parallel over all texts; Spark adds their sums per term, and the driver keeps only the
-   topic-term matrix, VOCABULARY terms wide whatever the corpus. A topic's prior share follows its size, so common wording gathers in a few topics. EM begins with topics fitted to START_TEXTS texts until their
-   bound stops rising.
+2. `fit_topics` fits TOPICS topics to the texts without any list of words: variational EM from random topics, each step of which takes the expectations of all texts in parallel, until the bound of all texts stops
+   rising; Spark adds their sums, and the driver keeps only the topic-term matrix, VOCABULARY terms wide whatever the corpus. A topic's prior share follows its size, so common wording gathers in a few topics.
 3. `topic_subjects` names the topics: a topic belongs to the subject whose inspected top terms (INSPECTED) have most of its probability, or to the running of the count, which is no subject, or, where it has
    hardly any of them, to common wording. `topic_terms` shows the top terms of a fit with that name.
 4. `assign_subjects` gives each running sentence the subject with most of it under the topic proportions of its text; one of common wording only carries on and has that of the sentence before. A text has the
@@ -19,7 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -36,13 +35,15 @@ VOCABULARY = 8192
 COMMON = 0.006
 LEAST_COUNT = 4
 TOPICS = 64
-#: EM begins with topics fitted to so many texts, the first by hash, until their bound per word rises by less than RISE in a step; then it takes PASSES steps over all texts.
-START_TEXTS = 1500
+#: EM ends when the bound per word of all texts rises by less than RISE in a step.
 RISE = 0.0008
-PASSES = 1
 SHARE = 0.25
 #: Prior of a topic's share in a text (times the topics' number and the topic's weight), and of a term in a topic; steps of a text's expectation.
 ALPHA, ETA, INNER = 0.1, 0.01, 3
+#: Texts of like length take their expectation together, in groups of so many cells (texts times terms). Tasks' sums are added up in whole parts of a use, so that their order makes no difference, in pieces of so many numbers.
+CELLS, PARTS, PIECE = 8192, 4096, 8192
+#: Words of the texts that are judged at once.
+WORDS = 1 << 17
 
 #: Top terms that name a topic, found by inspecting topics of fits to sf0.01 and sf0.1; "" stands for the running of the count and remarks in passing, which are no subject. They take no part in the fit. A subject
 #: that isn't here is named by the words of its titles.
@@ -182,44 +183,74 @@ def modelled(bag: np.ndarray, words: np.ndarray, lookup: np.ndarray) -> tuple[np
 
 
 def proportions(like: np.ndarray, counts: np.ndarray, alpha: np.ndarray) -> np.ndarray:
-    """The topic proportions of one text (times its words) by variational inference. like: its terms' rows of phi."""
-    theta = alpha + counts.sum() / np.float32(len(alpha))
+    """The topic proportions of a text (times its words) by variational inference, or of each of several. like: its terms' rows of phi."""
+    theta = alpha + counts.sum(-1, keepdims=True) / np.float32(len(alpha))
     for _ in range(INNER):
-        theta = theta * ((counts / (like @ theta)) @ like) + alpha
+        theta = theta * ((counts / (like @ theta[..., None])[..., 0])[..., None, :] @ like)[..., 0, :] + alpha
     return theta
 
 
-def expectations(texts: Iterator[tuple[np.ndarray, np.ndarray]], model: TopicModel) -> tuple[np.ndarray, float, float]:
-    """The E-step over texts (terms, counts): expected counts, term by topic, the sum of the bound of the words, and the number of words."""
+def grouped(texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts (terms, counts) in groups of like length: (terms used, text by place among them of each of its terms, counts). The place after the last fills up shorter texts; texts without terms are in no group."""
+    for _, filled, terms, counts in alike(texts):
+        used, place = np.unique(terms[filled], return_inverse=True)
+        at = np.full(filled.shape, len(used), np.int64)
+        at[filled] = place
+        yield used, at, counts
+
+
+def alike(texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts (terms, counts) in groups of like length: (which texts, which cells are filled, terms, counts), text by term."""
+    sizes = np.array([len(t) for t, _ in texts], dtype=np.int64)
+    order = np.argsort(sizes, kind="stable")[np.count_nonzero(sizes == 0) :]
+    first = 0
+    while first < len(order):
+        last = first + 1
+        while last < len(order) and (last + 1 - first) * sizes[order[last]] <= CELLS:
+            last += 1
+        which, first = order[first:last], last
+        filled = np.arange(sizes[which[-1]]) < sizes[which][:, None]
+        terms, counts = np.zeros(filled.shape, np.int32), np.zeros(filled.shape, np.float32)
+        terms[filled] = np.concatenate([texts[i][0] for i in which])
+        counts[filled] = np.concatenate([texts[i][1] for i in which])
+        yield which, filled, terms, counts
+
+
+def group_expectations(groups: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], model: TopicModel) -> tuple[np.ndarray, float, float]:
+    """The E-step over groups of texts: expected counts, term by topic, the sum of the bound of the words, and the number of words."""
     phi, alpha = model.phi, model.alpha()
-    stats = np.zeros(phi.shape, np.float32)
+    stats, few = np.zeros(phi.shape), np.zeros(phi.shape, np.float32)
+    filling = np.ones((1, phi.shape[1]), np.float32)
     bound = n = 0.0
-    for terms, counts in texts:
-        if not len(terms):
-            continue
-        like = phi.take(terms, 0)
+    for i, (used, at, counts) in enumerate(groups, 1):
+        like = np.concatenate([phi.take(used, 0), filling]).take(at, 0)
         theta = proportions(like, counts, alpha)
-        mixed = like @ theta
-        stats[terms] += (counts / mixed)[:, None] * theta
-        bound += float(counts @ np.log(mixed / theta.sum()))
-        n += float(counts.sum())
-    return stats * phi, bound, n
+        mixed = (like @ theta[..., None])[..., 0]
+        ratio = np.zeros((len(at), len(used) + 1), np.float32)
+        ratio[np.arange(len(at))[:, None], at] = counts / mixed
+        few[used] += ratio[:, :-1].T @ theta
+        if i % 64 == 0:
+            stats += few
+            few[:] = 0
+        bound += float(np.sum(counts * np.log(mixed / theta.sum(1, keepdims=True)), dtype=np.float64))
+        n += float(counts.sum(dtype=np.float64))
+    stats += few
+    stats *= phi
+    return stats, bound, n
 
 
-def _texts(batches: Iterator[pa.RecordBatch], lookup: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches of (bag, words) as (terms, counts)."""
-    for batch in batches:
-        for bag, words in zip(batch.column(0), batch.column(1), strict=True):
-            yield modelled(_ints(bag), _ints(words), lookup)[:2]
+def expectations(texts: Iterator[tuple[np.ndarray, np.ndarray]], model: TopicModel) -> tuple[np.ndarray, float, float]:
+    """The E-step over texts (terms, counts)."""
+    return group_expectations(grouped(list(texts)), model)
 
 
-def start_topics(texts: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray, topics: int) -> TopicModel:
-    """Topics fitted to a few texts, from random ones (of a fixed seed), until their bound stops rising."""
+def risen(terms: np.ndarray, topics: int, expect: Callable[[TopicModel], tuple[np.ndarray, float, float]]) -> TopicModel:
+    """Topics by EM from random ones (of a fixed seed), until the bound stops rising. expect: the E-step."""
     phi = np.random.default_rng(3).gamma(1.0, 1.0, (len(terms), topics)) + 0.1
     model = TopicModel(terms, (phi / np.maximum(phi.sum(0), 1e-9)).astype(np.float32), np.ones(topics) / topics)
     last = -np.inf
     while True:
-        stats, bound, n = expectations(iter(texts), model)
+        stats, bound, n = expect(model)
         model = _raised(terms, stats)
         now = bound / max(n, 1)
         if not n or now - last < RISE * abs(now):
@@ -227,51 +258,78 @@ def start_topics(texts: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray,
         last = now
 
 
+def start_topics(texts: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray, topics: int) -> TopicModel:
+    """Topics of texts that one process holds; `fit_topics` takes the same steps over a table."""
+    groups = list(grouped(texts))
+    return risen(terms, topics, lambda model: group_expectations(iter(groups), model))
+
+
 def vocabulary_terms(counts: DataFrame, total: int, vocabulary: int) -> list[int]:
     """The buckets of the model's terms, most frequent first."""
     kept = counts.where((F.col("n") >= LEAST_COUNT) & (F.col("n") <= F.lit(COMMON * total))).orderBy(F.desc("n"), "bucket").limit(vocabulary)
     return [r.bucket for r in kept.select("bucket").collect()]  # a model parameter's size
 
 
-def _summed(stats: DataFrame, width: int, topics: int) -> np.ndarray:
-    """(term, s0 …) of several tasks added up, term by topic."""
-    out = np.zeros((width, topics))
-    names = [f"s{i}" for i in range(topics)]
-    found = stats.groupBy("term").agg(*(F.sum(c).alias(c) for c in names)).toPandas()  # the size of the model
-    out[found["term"].to_numpy(dtype=np.int64)] = found[names].to_numpy()
-    return out
+_GROUP = {"n_texts": pa.int32(), "n_terms": pa.int32(), "used": pa.binary(), "at": pa.binary(), "counts": pa.binary()}
 
 
-def fit_topics(encoded: DataFrame, vocabulary: int = VOCABULARY, topics: int = TOPICS, passes: int = PASSES) -> TopicModel:
-    """The topic model of all texts. encoded is read several times; it should be cut first."""
-    spark = encoded.sparkSession
-    counts = cut(word_counts(encoded))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    terms = np.array(vocabulary_terms(counts, total, vocabulary), dtype=np.int64)
-    schema = "term int, " + ", ".join(f"s{i} float" for i in range(topics))
-
-    def rows(stats: np.ndarray) -> pa.RecordBatch:
-        some = np.flatnonzero(stats.any(1))
-        columns = [pa.array(some, pa.int32()), *(pa.array(stats[some, i].astype(np.float32)) for i in range(topics))]
-        return pa.RecordBatch.from_arrays(columns, names=["term", *(f"s{i}" for i in range(topics))])
+def pack_groups(encoded: DataFrame, terms: np.ndarray) -> DataFrame:
+    """The texts of encoded as rows of `grouped`, in the least whole numbers that hold them; every EM step reads them."""
+    ship_code(encoded.sparkSession)
 
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = TopicModel(terms, terms, terms).lookup()
-        model = start_topics(list(_texts(batches, lookup)), terms, topics)
-        yield rows(model.phi * model.weight)
+        for batch in batches:
+            texts = [modelled(_ints(bag), _ints(words), lookup)[:2] for bag, words in zip(batch.column(0), batch.column(1), strict=True)]
+            rows = [(*at.shape, used.astype(np.int32).tobytes(), *(x.astype(np.min_scalar_type(int(x.max()))).tobytes() for x in (at, counts))) for used, at, counts in grouped(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), _GROUP.values(), strict=True)] if rows else [pa.array([], kind) for kind in _GROUP.values()], names=list(_GROUP))
 
-    first = encoded.select("bag", "words", F.xxhash64("doc_id", "bag").alias("h")).orderBy("h").limit(START_TEXTS).select("bag", "words")
-    share = _summed(first.coalesce(1).mapInArrow(begin, schema), len(terms), topics)
-    weight = share.sum(0) + 1e-9
-    model = TopicModel(terms, (share / weight).astype(np.float32), weight / weight.sum())
-    for _ in range(passes):
-        shared = spark.sparkContext.broadcast(model)  # vocabulary x topics, whatever the corpus
+    return encoded.select("bag", "words").mapInArrow(pack, "n_texts int, n_terms int, used binary, at binary, counts binary")
 
-        def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            yield rows(expectations(_texts(batches, shared.value.lookup()), shared.value)[0])
 
-        model = _raised(terms, _summed(encoded.select("bag", "words").mapInArrow(partial, schema), len(terms), topics))
-    return model
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of `pack_groups` as groups."""
+    for batch in batches:
+        for n, m, used, at, counts in zip(*(batch.column(name) for name in _GROUP), strict=True):
+            shape = n.as_py(), m.as_py()
+            at, counts = (np.frombuffer(b := x.as_buffer(), dtype=f"u{b.size // (shape[0] * shape[1])}").reshape(shape) for x in (at, counts))
+            yield _ints(used), at.astype(np.int64), counts.astype(np.float32)
+
+
+def _added(key: tuple, table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_buffer(), dtype=np.int64) for x in table.column("parts"))
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "parts": pa.array([total.tobytes()], pa.binary())})
+
+
+def all_expectations(packed: DataFrame, model: TopicModel) -> tuple[np.ndarray, float, float]:
+    """The E-step over all texts. Each core adds up its texts' expectations, so what is shuffled follows the cores and the model."""
+    sc = packed.sparkSession.sparkContext
+    shared = sc.broadcast(model)  # vocabulary x topics, whatever the corpus
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats, bound, n = group_expectations(_groups(batches), shared.value)
+        parts = np.append(stats, [bound, n])
+        parts *= PARTS
+        parts = np.rint(parts, out=parts).astype(np.int64)
+        pieces = range(-(-len(parts) // PIECE))
+        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), pa.array([parts[i * PIECE : (i + 1) * PIECE].tobytes() for i in pieces], pa.binary())], names=["piece", "parts"])
+
+    schema = "piece int, parts binary"
+    cores = max(sc.defaultParallelism, 1)
+    sums = packed.coalesce(cores).mapInArrow(partial, schema).repartition(-(-cores // 8), "piece")  # a task adds up the sums of eight cores: starting one costs more
+    found = sums.groupBy("piece").applyInArrow(_added, schema).collect()  # the size of the model
+    shared.destroy()
+    whole = np.frombuffer(b"".join(r.parts for r in sorted(found, key=lambda r: r.piece)), dtype=np.int64) / PARTS
+    return (whole[:-2].reshape(model.phi.shape), *whole[-2:].tolist()) if len(whole) else (np.zeros(model.phi.shape), 0.0, 0.0)
+
+
+def fit_topics(encoded: DataFrame, vocabulary: int = VOCABULARY, topics: int = TOPICS) -> TopicModel:
+    """The topic model of all texts. encoded is read several times; it should be cut first."""
+    counts = cut(word_counts(encoded))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    terms = np.array(vocabulary_terms(counts, total, vocabulary), dtype=np.int64)
+    packed = cut(pack_groups(encoded, terms))
+    return risen(terms, topics, lambda model: all_expectations(packed, model))
 
 
 def areas_of(areas: DataFrame) -> dict[str, list[int]]:
@@ -301,30 +359,37 @@ def sentence_kinds(mass: np.ndarray) -> np.ndarray:
     return np.where(own, best, np.where(mass[:, none] >= least, none, none + 1))
 
 
-def carried(kinds: np.ndarray, none: int) -> np.ndarray:
-    """The kinds of the running sentences of a text, those that carry on replaced by that of the sentence before."""
-    own = kinds <= none
-    source = np.maximum.accumulate(np.where(own, np.arange(len(kinds)), 0))
+def carried(kinds: np.ndarray, none: int, first: np.ndarray | int = 0) -> np.ndarray:
+    """The kinds of the running sentences, those that carry on replaced by that of the sentence before in the text. first: where the text of each sentence begins."""
+    source = np.maximum.accumulate(np.where(kinds <= none, np.arange(len(kinds)), first))
     return kinds[source]
 
 
-def text_subjects(bag: np.ndarray, words: np.ndarray, lengths: np.ndarray, model: TopicModel, lookup: np.ndarray, alpha: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, int]:
-    """(running sentences of each subject, running sentences) of one text. named: topic by kind, 1 where the topic has the kind."""
-    none = named.shape[1] - 2
-    running = lengths > 0
-    n = int(running.sum())
-    if not n:
-        return np.zeros(none, np.int64), 0
-    terms, counts, at = modelled(bag, words, lookup)
-    kind = np.zeros((len(bag), none + 2), np.float32)
-    if len(terms):
-        like = model.phi.take(terms, 0)
-        theta = proportions(like, counts, alpha)
-        kind[at] = ((like * theta) @ named) / (like @ theta)[:, None]
-    starts = np.cumsum(np.abs(lengths)) - np.abs(lengths)
-    mass = np.add.reduceat(kind.take(words, 0), starts, axis=0)
-    final = carried(sentence_kinds(mass[running]), none)
-    return np.bincount(final[final < none], minlength=none), n
+def texts_subjects(bags: list[np.ndarray], words: list[np.ndarray], lengths: list[np.ndarray], model: TopicModel, lookup: np.ndarray, alpha: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(running sentences of each subject, running sentences) of each text. named: topic by kind, 1 where the topic has the kind."""
+    n, none = len(bags), named.shape[1] - 2
+    size = np.array([len(b) for b in bags])
+    place = np.cumsum(size) - size
+    word = np.concatenate(words) + np.repeat(place, [len(w) for w in words])
+    terms, counts, at = modelled(np.concatenate(bags), word, lookup)
+    ends = np.searchsorted(at, place + size)
+    begins = np.searchsorted(at, place)
+    kind = np.zeros((int(size.sum()), none + 2), np.float32)
+    for which, filled, some, uses in alike([(terms[i:j], counts[i:j]) for i, j in zip(begins, ends, strict=True)]):
+        like = model.phi.take(some, 0)
+        theta = proportions(like, uses, alpha)
+        share = ((like * theta[:, None, :]) @ named) / (like @ theta[..., None])
+        kind[at[(begins[which][:, None] + np.arange(filled.shape[1]))[filled]]] = share[filled]
+    length = np.concatenate(lengths)
+    running = length > 0
+    text = np.repeat(np.arange(n), [len(x) for x in lengths])[running]
+    total = np.bincount(text, minlength=n)
+    if not len(text):
+        return np.zeros((n, none), np.int64), total
+    mass = np.add.reduceat(kind.take(word, 0), np.cumsum(np.abs(length)) - np.abs(length), axis=0)
+    final = carried(sentence_kinds(mass[running]), none, (np.cumsum(total) - total)[text])
+    own = final < none
+    return np.bincount(text[own] * none + final[own], minlength=n * none).reshape(n, none), total
 
 
 def assign_subjects(encoded: DataFrame, model: TopicModel, areas: DataFrame, share: float = SHARE) -> DataFrame:
@@ -339,14 +404,15 @@ def assign_subjects(encoded: DataFrame, model: TopicModel, areas: DataFrame, sha
         model, named = shared.value
         lookup, alpha = model.lookup(), model.alpha()
         for batch in batches:
-            row, subject, part = [], [], []
-            for i, (bag, words, lengths) in enumerate(zip(*(batch.column(k) for k in (1, 2, 3)), strict=True)):
-                found, n = text_subjects(_ints(bag), _ints(words), _ints(lengths), model, lookup, alpha, named)
-                for k in np.flatnonzero((found > 0) & (found >= share * n)):
-                    row.append(i)
-                    subject.append(subjects[k])
-                    part.append(float(found[k]) / n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(subject, pa.string()), pa.array(part, pa.float64())], names=["doc_id", "subject", "share"])
+            texts = [[_ints(x) for x in batch.column(k)] for k in (1, 2, 3)]
+            part = np.cumsum([len(w) for w in texts[1]]) // WORDS
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i == j:
+                    continue
+                found, n = texts_subjects(*(x[i:j] for x in texts), model, lookup, alpha, named)
+                row, k = np.nonzero((found > 0) & (found >= share * n[:, None]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + i)), pa.array([subjects[x] for x in k], pa.string()), pa.array(found[row, k] / n[row], pa.float64())], names=["doc_id", "subject", "share"])
 
     return encoded.select("doc_id", "bag", "words", "lengths").mapInArrow(assign, "doc_id bigint, subject string, share double")
 

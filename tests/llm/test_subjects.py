@@ -134,3 +134,36 @@ def test_empty_and_topics(spark, fitted):
 
 def test_long_tags_are_no_words():
     assert S.read_text('<a href="https://example.org/' + "x" * 200 + '">satu</a> <b>dua</b>') == ["satu", "dua"]
+
+
+def test_every_text_takes_part_in_every_step(spark):
+    """Topics of 2400 texts are those of EM over all of them, and one more step over all raises the bound no further."""
+    rng = np.random.default_rng(5)
+    words = [[f"{a}{b}{c}" for b in "aeiou" for c in "kmt"] for a in "bdfghjklnprstvwyz"]
+    rows = [(i, " ".join(words[g][k] for g in rng.choice(len(words), 2) for k in rng.choice(15, 6)) + ".") for i in range(2400)]
+    encoded = cut(S.encode_sentences(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)))
+    model = S.fit_topics(encoded, topics=20)
+    ints = lambda b: np.frombuffer(b, dtype=np.int32)
+    texts = [S.modelled(ints(r.bag), ints(r.words), model.lookup())[:2] for r in encoded.collect()]
+    whole = S.start_topics(texts, model.terms, 20)
+    assert len(texts) == 2400 and np.allclose(model.phi, whole.phi, atol=1e-3) and np.allclose(model.weight, whole.weight, atol=1e-3)
+    stats, bound, n = S.expectations(iter(texts), model)
+    after = S.expectations(iter(texts), S._raised(model.terms, stats))[1]
+    assert after - bound < S.RISE * abs(bound)
+
+
+def test_texts_judged_together_are_judged_by_themselves():
+    rng = np.random.default_rng(6)
+    model = S.TopicModel(np.arange(100, 160), rng.dirichlet(np.full(60, 0.1), 9).T.astype(np.float32), rng.dirichlet(np.ones(9)))
+    named = np.eye(4, dtype=np.float32)[rng.integers(0, 4, 9)]
+    texts = []
+    for i in range(150):
+        lengths = rng.integers(1, 9, rng.integers(0, 7)) * rng.choice([1, 1, 1, -1], 1)
+        bag, words = np.unique(rng.integers(90, 170, int(np.abs(lengths).sum())), return_inverse=True)
+        texts.append((bag.astype(np.int32), words.astype(np.int32), lengths.astype(np.int32) if i % 3 else np.abs(lengths).astype(np.int32)))
+    texts.append((np.array([5], np.int32), np.zeros(20000, np.int32), np.array([20000], np.int32)))
+    judge = lambda some: S.texts_subjects(*(list(x) for x in zip(*some, strict=True)), model, model.lookup(), model.alpha(), named)
+    found, n = judge(texts)
+    each = [judge([t]) for t in texts]
+    assert found.sum() > 100 and (found == np.concatenate([f for f, _ in each])).all() and (n == np.concatenate([m for _, m in each])).all()
+    assert n.tolist() == [int((t[2] > 0).sum()) for t in texts]
